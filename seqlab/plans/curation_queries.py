@@ -66,8 +66,8 @@ def _(t):
 
 
 @query("S13_known_reference", """
-SELECT item_id, upper(trim(w, E' \\t\\n\\r')) AS word FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark)
-WHERE regexp_full_match(upper(trim(w, E' \\t\\n\\r')), '[A-Z]+')""")
+SELECT item_id, upper(trim(replace(w, 'ß', 'SS'), E' \\t\\n\\r')) AS word FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark)
+WHERE regexp_full_match(upper(trim(replace(w, 'ß', 'SS'), E' \\t\\n\\r')), '[A-Z]+')""")
 def _(t):
     from ..sources.files import known_sequences
 
