@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import lenient_clean, length_ok, unit_hash
+from ..functions.scalars import lenient_clean, length_ok
+from ..session import spread
 
 SENTENCE_END = r"[.!?\n]+"
 KEEP = "[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]"
@@ -110,7 +111,7 @@ def with_sql(ctes: str, body: str) -> str:
 # --- Spark side -----------------------------------------------------------------------------
 
 def raw_fragments(t) -> DataFrame:
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "lang", "source", "text")).select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", SENTENCE_END)).alias("pos", "raw")
     ).select("doc_id", "lang", "source", (F.col("pos") + 1).cast("long").alias("frag_no"), "raw")
 
