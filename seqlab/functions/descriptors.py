@@ -129,6 +129,17 @@ def occurrence_profile(df: DataFrame, by: Sequence[str], occurrences: Column, ta
         *by, F.concat(F.lit(tag), "item").alias("feature"), F.col("_n").alias("n_occurrences"), (F.col("_sum") / F.col("_rows")).alias("mean_frequency"))
 
 
+def gapped_pair_profile(df: DataFrame, by: Sequence[str], letters: Column, gaps: Sequence[int]) -> DataFrame:
+    """Pair profile at several gaps; every gap has its own denominator, all from one scan."""
+    cut = df.select(*by, letters.alias("_letters"))
+    tagged = F.concat(*[
+        F.transform(F.array(pairs(F.col("_letters"), g)), lambda p: F.struct(F.lit(g).alias("gap"), p.alias("items"))) for g in gaps])
+    rows = cut.select(*by, F.explode(tagged).alias("_e")).select(*by, "_e.gap", "_e.items")
+    out = occurrence_profile(rows, [*by, "gap"], F.col("items"))
+    name = F.concat("feature", F.lit(".gap"), F.col("gap").cast("string"))
+    return out.withColumn("feature", name).drop("gap")
+
+
 # --- physico-chemical vector ----------------------------------------------------------------------
 
 def scale_sum(seq: Column, scale: Mapping[str, float]) -> Column:
@@ -258,10 +269,13 @@ def dipeptide_deviation_profile(df: DataFrame, by: Sequence[str], seq: str) -> D
     sums = rows.groupBy(*by, "pair").agg(
         F.sum(F.when(F.col("_n") > 0, 1.0 / F.sqrt("_n")).otherwise(0.0)).alias("hit"),
         F.sum(F.sqrt("_n")).alias("roots"), F.count("*").alias("n"))
-    codons = [(a + b, CODONS[a] / 61.0 * CODONS[b] / 61.0) for a in RESIDUES for b in RESIDUES]
-    table = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(tm).alias("tm")) for p, tm in codons])
+    share = F.array(*[F.lit(CODONS[r] / 61.0) for r in RESIDUES])
+    letter = F.split(F.lit(RESIDUES), "")
+    first, second = F.floor(F.col("_i") / 20).cast("int"), (F.col("_i") % 20).cast("int")
     groups = sums.where("pair = ''").select(*by, "roots", "n")
-    grid = groups.select(*by, "roots", "n", F.explode(table).alias("t")).select(*by, "roots", "n", "t.pair", "t.tm")
+    grid = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("_i")).select(
+        *by, "roots", "n", F.concat(F.get(letter, first), F.get(letter, second)).alias("pair"),
+        (F.get(share, first) * F.get(share, second)).alias("tm"))
     joined = grid.join(sums.select(*by, "pair", "hit"), [*by, "pair"], "left").na.fill(0.0, ["hit"])
     tm = F.col("tm")
     value = (F.col("hit") - tm * F.col("roots")) / F.sqrt(tm * (1.0 - tm)) / F.col("n")
@@ -385,12 +399,19 @@ def triad_shares(letters: Column, gap: int, n_features: int) -> Column:
 
     Counting inside the record is quadratic in its length, so this is for length-ruled records.
     """
-    found = triples(letters, gap)
-    counts = F.transform(F.array_distinct(found), lambda x: F.struct(
-        x.alias("triad"), F.size(F.filter(found, lambda y: y == x)).alias("n")))
-    top = F.array_max(F.transform(counts, lambda k: k["n"]))
-    low = F.when(F.size(counts) < n_features, F.lit(0)).otherwise(F.array_min(F.transform(counts, lambda k: k["n"])))
-    return F.transform(counts, lambda k: F.struct(k["triad"].alias("triad"), ((k["n"] - low) / top).alias("share")))
+    def shares(found: Column) -> Column:
+        counts = F.transform(F.array_distinct(found), lambda x: F.struct(
+            x.alias("triad"), F.size(F.filter(found, lambda y: y == x)).alias("n")))
+        return F.get(F.transform(F.array(counts), scale), F.lit(0))
+
+    def scale(counts: Column) -> Column:
+        numbers = F.transform(counts, lambda k: k["n"])
+        low = F.when(F.size(counts) < n_features, F.lit(0)).otherwise(F.array_min(numbers))
+        return F.transform(counts, lambda k: F.struct(
+            k["triad"].alias("triad"), ((k["n"] - low) / F.array_max(numbers)).alias("share")))
+
+    # Lambda variables hold the triads and the counts, so neither is computed again per element.
+    return F.get(F.transform(F.array(triples(letters, gap)), shares), F.lit(0))
 
 
 def triad_profile(df: DataFrame, by: Sequence[str], seq: str, gaps: Sequence[int], classes: Mapping[str, str] = SEVEN_CLASSES) -> DataFrame:

@@ -29,6 +29,10 @@ def r6(value: Column) -> Column:
     return F.round(value * 1e6) / F.lit(1e6) + F.lit(0.0)
 
 
+def r9(value: Column) -> Column:
+    return F.round(value * 1e9) / F.lit(1e9) + F.lit(0.0)
+
+
 def unit_hash(seed: int, stage: str, *keys: Column) -> Column:
     """Deterministic uniform in [0, 1): the first 52 bits of md5(seed|stage|keys)."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(stage), *[k.cast("string") for k in keys]))

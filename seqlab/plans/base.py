@@ -25,6 +25,10 @@ def r6_sql(expr: str) -> str:
     return f"(round(({expr}) * 1e6) / 1e6 + 0.0)"
 
 
+def r9_sql(expr: str) -> str:
+    return f"(round(({expr}) * 1e9) / 1e9 + 0.0)"
+
+
 def u_sql(seed: int, stage: str, *keys: str) -> str:
     args = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
     return (

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("curation_queries", "matching_queries", "descriptor_queries")
+MODULES = ("curation_queries", "matching_queries", "descriptor_queries", "metric_queries")
 
 
 def load() -> None:

@@ -272,11 +272,7 @@ GAPS = (0, 1, 2, 3)
 
 
 def _gapped(df, letters):
-    parts = [_profile(df, "source", F.transform(D.pairs(letters, g), lambda p, s=f".gap{g}": F.concat(p, F.lit(s)))) for g in GAPS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return D.gapped_pair_profile(df, ["source"], letters, GAPS).withColumn("mean_frequency", S.r6(c("mean_frequency")))
 
 
 @query("D20_cksaap_profile", B.with_sql(B.FRAGS, gapped_profile_sql("seq", "frags", GAPS).lstrip()))
@@ -401,12 +397,12 @@ def _triad_sql() -> str:
         f"SELECT record_id, source_db, item, count(*) AS n FROM (SELECT record_id, source_db, unnest({tri('z', g)}) || '.gap{g}' AS item FROM coded) GROUP BY ALL" for g in GAPS)
     return f""", k AS ({selects}), m AS (SELECT *, max(n) OVER (PARTITION BY record_id, substr(item, 4)) AS top FROM k),
 rec AS (SELECT source_db, count(*) AS n_rec FROM coded GROUP BY 1)
-SELECT m.source_db, item AS feature, {R('sum(n / top) / any_value(n_rec)')} AS mean_share FROM m JOIN rec ON rec.source_db = m.source_db GROUP BY ALL"""
+SELECT m.source_db, item AS feature, {B.r9_sql('sum(n / top) / any_value(n_rec)')} AS mean_share FROM m JOIN rec ON rec.source_db = m.source_db GROUP BY ALL"""
 
 
 @query("D29_triad_profile", B.with_sql(B.RECORDS + coded(D.SEVEN_CLASSES, "records", "sequence", "source_db"), _triad_sql().lstrip()))
 def _(t):
-    return D.triad_profile(B.records(t), ["source_db"], "sequence", GAPS).withColumn("mean_share", S.r6(c("mean_share")))
+    return D.triad_profile(B.records(t), ["source_db"], "sequence", GAPS).withColumn("mean_share", S.r9(c("mean_share")))
 
 
 PSEUDO = D.PSEUDO_PROPERTIES
