@@ -105,13 +105,13 @@ def best_thresholds(df: DataFrame, by: Sequence[str], score: str = "prob") -> Da
     points = [0.02 + 0.01 * i for i in range(97)]
     grid = df.groupBy(*by).agg(F.array_distinct(F.percentile(score, F.array(*[F.lit(round(p, 2)) for p in points]))).alias("_grid"))
     counts = score_counts(df, by, score)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     # one row per (group, threshold) below its score: a slice index per score, then a running total
     placed = counts.join(grid, list(by)).withColumn("_i", F.size(F.filter("_grid", lambda t: t <= F.col(score))))
     cells = placed.groupBy(*by, "_i").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     wide = grid.select(*by, F.posexplode("_grid").alias("_k", "threshold")).join(totals, list(by))
-    hit = wide.join(cells, list(by)).where(F.col("_i") > F.col("_k")).groupBy(*by, "threshold", "P", "N").agg(F.sum("p").alias("tp"), F.sum("n").alias("fp"))
-    score_value = (safe_ratio(F.col("tp"), F.col("P")) + safe_ratio(F.col("N") - F.col("fp"), F.col("N"))) / 2
+    hit = wide.join(cells, list(by)).where(F.col("_i") > F.col("_k")).groupBy(*by, "threshold", "all_pos", "all_neg").agg(F.sum("p").alias("tp"), F.sum("n").alias("fp"))
+    score_value = (safe_ratio(F.col("tp"), F.col("all_pos")) + safe_ratio(F.col("all_neg") - F.col("fp"), F.col("all_neg"))) / 2
     scored = hit.withColumn("balanced", F.round(score_value * 1e12) / 1e12)
     best = scored.groupBy(*by).agg(F.max_by("threshold", F.struct("balanced", -F.col("threshold"))).alias("threshold"), F.max("balanced").alias("balanced_accuracy"))
     return best.withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))

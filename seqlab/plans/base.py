@@ -163,7 +163,8 @@ def unique_rows(t, column: str = "quality") -> DataFrame:
 
 def candidates(t) -> DataFrame:
     c = F.col
-    return t.lineitem.select(
+    lines = spread(t.lineitem.drop("l_shipdate"))
+    return lines.select(
         F.concat_ws("-", *[c(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
                     F.round(c("l_extendedprice") * 100).cast("long").cast("string")).alias("cand_id"),
         (c("l_extendedprice") / 105000.0).alias("score_a"),

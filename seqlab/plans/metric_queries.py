@@ -392,7 +392,7 @@ def _(t):
     return K.compact_topk(sweep, 0.05)
 
 
-FRAMES = "frames AS (SELECT CAST(epoch(ts) // 3600 AS BIGINT) AS frame, user_id % 10 AS residue, event_type FROM events)"
+FRAMES = "frames AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame, user_id % 10 AS residue, event_type FROM events)"
 
 
 @query("A33_state_fraction", B.with_sql(FRAMES, f"""
@@ -406,7 +406,7 @@ def _(t):
 
 
 def _frames(t):
-    return t.events.select(F.floor(F.unix_micros("ts") / 1000000 / 3600).cast("long").alias("frame"), (c("user_id") % 10).alias("residue"), "event_type")
+    return t.events.select(F.floor(F.unix_timestamp(c("ts").cast("timestamp")) / 3600).cast("long").alias("frame"), (c("user_id") % 10).alias("residue"), "event_type")
 
 
 @query("A33_state_matrix", B.with_sql(FRAMES, f"""
