@@ -1,7 +1,6 @@
 """Similarity joins and clustering of sequences.
 
-Candidates come from an inverted index over rare-first q-gram prefixes, which loses no pair above the
-threshold. Near-copy families first collapse onto a hub per index entry; afterwards only members of
+Candidates come from an inverted index over string segments, which loses no pair above the threshold. Near-copy families first collapse onto a hub per index entry; afterwards only members of
 different components meet, so a family that holds a third of all rows never forms its own pairs.
 """
 
@@ -15,8 +14,6 @@ from ..functions.scalars import RESIDUES, count_chars
 from ..session import materialise, shuffle_width
 from .matching import distinct_cap_sample
 
-Q = 3
-
 
 # --- identity ------------------------------------------------------------------------------------
 
@@ -36,20 +33,39 @@ def allowed_edits(length: Column, identity: float) -> Column:
     return F.floor(length * round(1.0 - identity, 9) + 1e-9).cast("int")
 
 
-def gram_prefixes(sequences: DataFrame, identity: float) -> DataFrame:
-    """(sequence, token): the rarest q-grams of each sequence, enough to meet any partner.
+def _segments(df: DataFrame, identity: float) -> DataFrame:
+    """Cut length ``l`` into edits + 1 even segments: adds ``i``, ``at`` (1-based start) and ``size``."""
+    parts = allowed_edits(F.col("l"), identity) + 1
+    cut = df.withColumn("parts", parts).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    start = F.floor((F.col("i") - 1) * F.col("l") / F.col("parts")).cast("int")
+    end = F.floor(F.col("i") * F.col("l") / F.col("parts")).cast("int")
+    return cut.withColumn("at", start + 1).withColumn("size", end - start)
+
+
+def _token(text: Column) -> Column:
+    return F.concat_ws("|", F.col("l").cast("string"), F.col("i").cast("string"), text)
+
+
+def segment_index(sequences: DataFrame, identity: float) -> DataFrame:
+    """(sequence, token) of the shorter side: its own segments."""
+    cut = _segments(sequences.select("sequence", F.length("sequence").alias("l")), identity)
+    return cut.select("sequence", _token(F.substring(F.col("sequence"), F.col("at"), F.col("size"))).alias("token"))
 
-    An edit destroys at most q grams, so partners within t edits share a gram among their q*t+1 rarest.
-    Repeated grams are numbered, which keeps the multiset argument intact.
+
+def segment_probes(sequences: DataFrame, identity: float) -> DataFrame:
+    """(sequence, token) of the longer side: every substring that may equal a partner's segment.
+
+    With t edits, one of the t + 1 segments of the shorter string survives unchanged. Counting the edits
+    to its left and right bounds how far it can have moved, so only a few starts per segment are needed.
     """
-    spots = F.sequence(F.lit(1), F.length("sequence") - (Q - 1))
-    grams = sequences.where(F.length("sequence") >= Q).select("sequence", F.posexplode(F.transform(spots, lambda i: F.substring(F.col("sequence"), i, F.lit(Q)))).alias("pos", "gram"))
-    nth = F.row_number().over(Window.partitionBy("sequence", "gram").orderBy("pos"))
-    tokens = grams.select("sequence", F.concat_ws("#", "gram", nth.cast("string")).alias("token"))
-    sizes = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("sequence").orderBy("df", "token")
-    ranked = tokens.join(sizes, "token").withColumn("_i", F.row_number().over(order))
-    return ranked.where(F.col("_i") <= Q * allowed_edits(F.length("sequence"), identity) + 1).select("sequence", "token")
+    n = F.length("sequence")
+    lengths = F.filter(F.sequence(F.greatest(F.lit(1), F.floor(n * identity).cast("int") - 1), n), lambda l: n - l <= F.floor(l * round(1.0 - identity, 9) + 1e-9))
+    cut = _segments(sequences.select("sequence", F.explode(lengths).alias("l")), identity)
+    shift, left, right = n - F.col("l"), F.col("i") - 1, F.col("parts") - F.col("i")
+    low = F.greatest(F.lit(1), F.col("at") - left, F.col("at") + shift - right)
+    high = F.least(n - F.col("size") + 1, F.col("at") + left, F.col("at") + shift + right)
+    spots = cut.withColumn("_lo", low).withColumn("_hi", high).where("_lo <= _hi").withColumn("_s", F.explode(F.sequence("_lo", "_hi")))
+    return spots.select("sequence", _token(F.substring(F.col("sequence"), F.col("_s"), F.col("size"))).alias("token"))
 
 
 def verified(pairs: DataFrame, identity: float) -> DataFrame:
@@ -85,22 +101,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
 def similarity_clusters(sequences: DataFrame, identity: float = 0.8) -> DataFrame:
     """Connected components of 'identity of the shorter at least ``identity``' over distinct sequences."""
     distinct = materialise(sequences.select("sequence").distinct())
-    index = materialise(gram_prefixes(distinct, identity))
+    index = segment_index(distinct, identity)
+    probes = materialise(segment_probes(distinct, identity).repartition(shuffle_width(distinct), "token"))
     # 1. every member meets the hub of its index entry: linear in the index
-    hubs = index.groupBy("token").agg(F.max_by("sequence", F.struct(F.length("sequence"), "sequence")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    spokes = index.join(hubs, "token").where("sequence <> hub")
-    first = verified(spokes.select(F.least("sequence", "hub").alias("a"), F.greatest("sequence", "hub").alias("b")), identity)
-    first = materialise(first)
+    hubs = index.groupBy("token").agg(F.min("sequence").alias("hub"))
+    spokes = probes.join(hubs, "token").where("sequence <> hub")
+    first = materialise(verified(spokes.select(F.least("sequence", "hub").alias("a"), F.greatest("sequence", "hub").alias("b")), identity))
     components = connected_components(distinct, first)
     # 2. pairs across components only: component pairs per token, then their members
-    placed = materialise(index.join(components, "sequence"))
-    heads = placed.select("token", "cluster_id").distinct()
-    left = heads.select("token", F.col("cluster_id").alias("ca"))
-    right = heads.select("token", F.col("cluster_id").alias("cb"))
-    meets = left.join(right, "token").where("ca < cb")
-    members_a = placed.select("token", F.col("cluster_id").alias("ca"), F.col("sequence").alias("a"))
-    members_b = placed.select("token", F.col("cluster_id").alias("cb"), F.col("sequence").alias("b"))
-    across = meets.join(members_a, ["token", "ca"]).join(members_b, ["token", "cb"])
+    longer = probes.join(components, "sequence").select("token", F.col("cluster_id").alias("ca"), F.col("sequence").alias("a"))
+    shorter = index.join(components, "sequence").select("token", F.col("cluster_id").alias("cb"), F.col("sequence").alias("b"))
+    longer, shorter = materialise(longer), materialise(shorter)
+    meets = longer.select("token", "ca").distinct().join(shorter.select("token", "cb").distinct(), "token").where("ca <> cb")
+    across = meets.join(longer, ["token", "ca"]).join(shorter, ["token", "cb"])
     second = verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), identity)
     # components already found stand for their members, so the second pass runs on components
     names = components.select(F.col("sequence").alias("_s"), F.col("cluster_id").alias("_k"))
@@ -175,12 +188,10 @@ def novelty(queries: DataFrame, known: DataFrame, threshold: float = 0.8, stop:
 
 
 def novelty_levenshtein(queries: DataFrame, known: DataFrame, identity: float = 0.8) -> DataFrame:
-    """Known partners within the edit threshold, through the same lossless prefix index."""
+    """Known partners within the edit threshold, through the same lossless segment index."""
     q = queries.select("sequence").distinct()
     k = known.select(F.col("known").alias("sequence")).distinct()
-    index = gram_prefixes(materialise(q.unionByName(k).distinct()), identity)
-    index = materialise(index)
-    a = index.join(q, "sequence", "left_semi").select("token", F.col("sequence").alias("a"))
-    b = index.join(k, "sequence", "left_semi").select("token", F.col("sequence").alias("b"))
-    hits = verified(a.join(b, "token"), identity)
+    longer_q = segment_probes(q, identity).withColumnRenamed("sequence", "a").join(segment_index(k, identity).withColumnRenamed("sequence", "b"), "token")
+    longer_k = segment_probes(k, identity).withColumnRenamed("sequence", "b").join(segment_index(q, identity).withColumnRenamed("sequence", "a"), "token")
+    hits = verified(longer_q.unionByName(longer_k), identity)
     return hits.withColumn("distance", F.levenshtein("a", "b"))
