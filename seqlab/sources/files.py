@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import scalars as S
 from ..operators.curation import require_columns, require_empty
 
-FILE = F.col("_metadata.file_name")
+FILE = "_metadata.file_name"
 
 
 def read_csv_folder(spark: SparkSession, pattern: str, sep: str = ",") -> DataFrame:
     """All matching CSV files as strings, plus ``source_file``. Undecodable bytes do not stop the read."""
     df = spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").option("multiLine", False).csv(pattern)
-    return df.select("*", FILE.alias("source_file"))
+    return df.select("*", F.col(FILE).alias("source_file"))
 
 
 def read_fasta(spark: SparkSession, pattern: str) -> DataFrame:
@@ -25,7 +25,7 @@ def read_fasta(spark: SparkSession, pattern: str) -> DataFrame:
     the first ``>`` is dropped; a wrapped sequence is glued together.
     """
     blocks = spark.read.option("lineSep", "\n>").text(pattern).select(
-        F.regexp_replace("value", "\r", "").alias("block"), FILE.alias("source_file"),
+        F.regexp_replace("value", "\r", "").alias("block"), F.col(FILE).alias("source_file"),
         F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_order"),
     )
     # Only the first block of a file keeps its own '>'; without one it is text before any entry.
