@@ -69,14 +69,16 @@ def segment_probes(sequences: DataFrame, identity: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, identity: float) -> DataFrame:
-    """Keep pairs whose edit distance is at most (1 - identity) of the shorter one; the threshold stops early."""
+    """Distinct pairs whose edit distance is at most (1 - identity) of the shorter one.
+
+    The distance is taken inside the index join, before anything is shuffled: with its bound as a
+    constant it stops after a few cells, which is cheaper than shuffling and deduplicating candidates.
+    """
     limit = allowed_edits(F.least(F.length("a"), F.length("b")), identity)
-    close = F.abs(F.length("a") - F.length("b")) <= limit
-    distinct = pairs.where(close).select("a", "b").distinct()
-    # Short rows but a costly distance: spread them evenly, and keep the optimiser from pushing the
-    # distance below the deduplication into the index join.
-    spread = materialise(distinct.repartition(shuffle_width(pairs)))
-    return spread.where(F.levenshtein("a", "b") <= limit)
+    within = F.levenshtein("a", "b") <= limit
+    for bound in range(10, -1, -1):
+        within = F.when(limit == bound, F.levenshtein("a", "b", bound) >= 0).otherwise(within)
+    return pairs.where(F.abs(F.length("a") - F.length("b")) <= limit).where(within).select("a", "b").distinct()
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -111,10 +113,11 @@ def similarity_clusters(sequences: DataFrame, identity: float = 0.8) -> DataFram
     # 2. pairs across components only: component pairs per token, then their members
     longer = probes.join(components, "sequence").select("token", F.col("cluster_id").alias("ca"), F.col("sequence").alias("a"))
     shorter = index.join(components, "sequence").select("token", F.col("cluster_id").alias("cb"), F.col("sequence").alias("b"))
-    longer, shorter = materialise(longer), materialise(shorter)
+    width = shuffle_width(distinct)
+    longer, shorter = materialise(longer.repartition(width, "token")), materialise(shorter.repartition(width, "token"))
     meets = longer.select("token", "ca").distinct().join(shorter.select("token", "cb").distinct(), "token").where("ca <> cb")
     across = meets.join(longer, ["token", "ca"]).join(shorter, ["token", "cb"])
-    second = verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), identity)
+    second = materialise(verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), identity))
     # components already found stand for their members, so the second pass runs on components
     names = components.select(F.col("sequence").alias("_s"), F.col("cluster_id").alias("_k"))
     linked = second.join(names, second["a"] == names["_s"]).select("b", F.col("_k").alias("ka"))
