@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import descriptors as D, scalars as S
 from ..operators import comparison as K, matching as MT, metrics as M, models as ML, ranking as RK, shortcuts as SC
 from . import base as B, jobs
-from .metric_queries import full_metrics
+from .matching_queries import EXACT, LIBRARY, recursive
+from .metric_queries import full_metrics, metrics_sql, ranking_sql
 from .registry import query
 
 c = F.col
@@ -123,6 +124,21 @@ def _(t):
     return M.seed_ensemble(long, ["vec_id"], "seed", SEEDS)
 
 
+_NUMBERED = """'seq_' || lpad(CAST(row_number() OVER (ORDER BY CASE WHEN label = 'positive' THEN 0 ELSE 1 END, sequence) AS VARCHAR), 6, '0') AS fasta_id"""
+
+
+def _cells(model: str, score: str) -> str:
+    return (f"SELECT '{model}' AS model, count(*) FILTER (label = 1 AND {score} >= 0.5) AS tp, count(*) FILTER (label = 0 AND {score} >= 0.5) AS fp, "
+            f"count(*) FILTER (label = 0 AND {score} < 0.5) AS tn, count(*) FILTER (label = 1 AND {score} < 0.5) AS fn FROM cand")
+
+
+_PAIRED = B.CAND + f""", conf AS ({_cells('a', 'score_a')} UNION ALL {_cells('m', 'score_m')}),
+long AS (SELECT 'a' AS model, label, score_a AS prob FROM cand UNION ALL SELECT 'm', label, score_m FROM cand),
+v AS MATERIALIZED (SELECT * FROM ({metrics_sql('conf', 'model')}) JOIN ({ranking_sql('long', 'model')}) USING (model)),
+l AS (SELECT CASE WHEN model = 'a' THEN 'a1' ELSE 'a2' END AS name, * FROM v), r AS (SELECT CASE WHEN model = 'm' THEN 'b1' ELSE 'b2' END AS name, * FROM v)
+SELECT l.name || ' + ' || r.name AS model, 'paired' AS category, {', '.join(f'{R(f"(l.{chr(34)}{m}{chr(34)} + r.{chr(34)}{m}{chr(34)}) / 2")} AS macro_{m}' for m in K.DUAL_METRICS)} FROM l CROSS JOIN r"""
+
+
 # --- composite jobs ------------------------------------------------------------------------------------
 
 @query("Y01_benchmark_build", B.with_sql(B.UNIQ, """
@@ -139,13 +155,17 @@ def _(t):
     return MT.split_summary(jobs.split_benchmark(built, clusters), "cluster_id", c("label") == "positive")
 
 
-@query("Y03_matched_release")
+@query("Y03_matched_release", recursive(LIBRARY, f"""
+SELECT {_NUMBERED}, sequence, label, CASE WHEN label = 'positive' THEN 1 ELSE 0 END AS label_id FROM (
+  SELECT sequence, label FROM uniq WHERE label = 'positive' UNION ALL SELECT sequence, label FROM drawn)"""))
 def _(t):
     built = jobs.build_benchmark(B.labelled(t, "toxic"), jobs.Policy(matching="library"))
     return built.select("fasta_id", "sequence", "label", "label_id")
 
 
-@query("Y04_second_task")
+@query("Y04_second_task", B.with_sql(EXACT, f"""
+SELECT {_NUMBERED}, sequence, CASE WHEN label = 'positive' THEN 1 ELSE 0 END AS label_id, CASE WHEN label = 'positive' THEN 'toxic' ELSE 'non_toxic' END AS task_label FROM (
+  SELECT sequence, label FROM uniq WHERE label = 'positive' UNION ALL SELECT sequence, label FROM drawn WHERE rn <= quota)"""))
 def _(t):
     built = jobs.build_benchmark(B.labelled(t, "toxic"), jobs.Policy(matching="exact", preferred=("src1", "src2")))
     return built.select("fasta_id", "sequence", "label_id", S.label_name(c("label_id"), "toxic", "non_toxic").alias("task_label"))
@@ -166,11 +186,12 @@ def _(t):
     return out.select("record_id", S.r6(c("AAC_A")).alias("aac_a"), S.r6(c("GAAC_p")).alias("gaac_p"), S.r6(c("phys8_length_norm")).alias("length_norm"))
 
 
-@query("Y11_paired_comparison")
+@query("Y11_paired_comparison", B.with_sql(_PAIRED.rsplit("\nSELECT", 1)[0], "SELECT" + _PAIRED.rsplit("\nSELECT", 1)[1]))
 def _(t):
     cand = B.candidates(t)
     side = lambda name, score, label: cand.select(F.lit(name).alias("model"), c(label).alias("label"), c(score).alias("prob"))
     left = side("a1", "score_a", "label").unionByName(side("a2", "score_m", "label"))
     right = side("b1", "score_m", "label").unionByName(side("b2", "score_a", "label"))
     paired = K.dual_rows(full_metrics(left), full_metrics(right), "paired")
-    return paired.orderBy(c("macro_roc_auc").desc(), c("macro_pr_auc").desc(), "model")
+    ordered = paired.orderBy(c("macro_roc_auc").desc(), c("macro_pr_auc").desc(), "model")
+    return ordered.select("model", "category", *[S.r6(c(f"macro_{m}")).alias(f"macro_{m}") for m in K.DUAL_METRICS])
