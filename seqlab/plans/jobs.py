@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import composition as Q, descriptors as D, scalars as S
-from ..operators import curation as C, matching as M, screening as SC
+from ..operators import comparison as K, curation as C, matching as M, screening as SC
 from ..operators.ranking import assign_ids
 from ..session import materialise
 
@@ -81,3 +81,16 @@ def priority_summary(candidates: DataFrame, score_a: str, score_b: str, length:
         F.min(score_a).alias("min_a"), F.max(score_b).alias("max_b"), F.min("priority").alias("min_priority"), F.median(length).alias("median_length"))
     totals = scored.agg(F.count("*").alias("n_total"), F.count_if(F.col("qc_pass")).alias("n_qc_pass"))
     return totals.crossJoin(best)  # one row each
+
+
+def evidence_tables(results: DataFrame, target: str, other: str, metrics: list[str]) -> dict[str, DataFrame]:
+    """Evidence package over a results table (task, split, model, seed, metrics): seed summary, paired
+    delta statistics, consistent gains and gains of the means."""
+    summary = K.seed_summary(results, ["task", "model", "split"], metrics)
+    deltas = K.delta_statistics(K.seed_deltas(results, ["task", "split", "seed"], target, other, metrics), ["task", "split", "metric"])
+    return {
+        "summary": summary,
+        "deltas": deltas,
+        "key_gains": K.key_gains(deltas),
+        "positive_gains": K.positive_gains(K.model_deltas(summary, ["task", "split"], target, other, metrics), ["task", "split"], metrics),
+    }

@@ -8,7 +8,7 @@ from ..functions import descriptors as D, scalars as S
 from ..operators import comparison as K, matching as MT, metrics as M, models as ML, ranking as RK, shortcuts as SC
 from . import base as B, jobs
 from .matching_queries import EXACT, LIBRARY, recursive
-from .metric_queries import full_metrics, metrics_sql, ranking_sql
+from .metric_queries import DELTAS, fixed4_sql, full_metrics, metrics_sql, ranking_sql
 from .registry import query
 
 c = F.col
@@ -195,3 +195,20 @@ def _(t):
     paired = K.dual_rows(full_metrics(left), full_metrics(right), "paired")
     ordered = paired.orderBy(c("macro_roc_auc").desc(), c("macro_pr_auc").desc(), "model")
     return ordered.select("model", "category", *[S.r6(c(f"macro_{m}")).alias(f"macro_{m}") for m in K.DUAL_METRICS])
+
+
+@query("Y12_evidence_package", B.with_sql(DELTAS, f"""
+, means AS (SELECT task, model, split, avg(roc) AS roc, avg(pr) AS pr FROM results GROUP BY ALL),
+g AS (SELECT task, split, max(CASE WHEN model = 'm0' THEN roc END) - max(CASE WHEN model = 'm1' THEN roc END) AS roc, max(CASE WHEN model = 'm0' THEN pr END) - max(CASE WHEN model = 'm1' THEN pr END) AS pr FROM means GROUP BY ALL),
+pg AS (SELECT task, split, metric FROM (UNPIVOT g ON roc, pr INTO NAME metric VALUE gain) WHERE gain > 0.0005)
+SELECT s.task, s.split, s.metric, {fixed4_sql('mean_delta', True)} AS mean_delta, seeds_improved || '/' || seeds_total AS seed_wins, seed_deltas,
+  mean_delta > 0.0005 AND seeds_improved >= 2 AS key_gain, pg.task IS NOT NULL AS positive_gain
+FROM stats s LEFT JOIN pg ON pg.task = s.task AND pg.split = s.split AND pg.metric = s.metric""".lstrip()))
+def _(t):
+    tables = jobs.evidence_tables(B.results(t), "m0", "m1", ["roc", "pr"])
+    keys = ["task", "split", "metric"]
+    mark = lambda name, flag: tables[name].select(*keys, F.lit(True).alias(flag))
+    joined = tables["deltas"].join(mark("key_gains", "key_gain"), keys, "left").join(mark("positive_gains", "positive_gain"), keys, "left")
+    flat = joined.na.fill({"key_gain": False, "positive_gain": False})
+    wins = F.concat_ws("/", c("seeds_improved").cast("string"), c("seeds_total").cast("string"))
+    return flat.select(*keys, S.fixed4(c("mean_delta"), signed=True).alias("mean_delta"), wins.alias("seed_wins"), "seed_deltas", "key_gain", "positive_gain")
