@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqlab.llm import quality_rules, url_lists
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -59,3 +61,35 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op1_line_quality_rules", quality_rules.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@register("op9_temporal_url_lists", url_lists.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.temporal_list_join(url_lists.page_captures(pages), url_lists.list_entries(pages))
+
+
+@register("op5_attention_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.mil_quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_ordinal_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.toxicity import classify_toxicity
+
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_katz_backoff")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.katz import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))

@@ -63,7 +63,7 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self._hashes = None
+        self._hashes = self._total = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -79,9 +79,18 @@ class Words:
             up, down = _power_tables(len(self.data))
             total = np.zeros(len(self.data) + 1, dtype=np.uint64)
             np.cumsum(_BYTE[self.data] * up[:len(self.data)], out=total[1:], dtype=np.uint64)
+            self._total = total
             self._hashes = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
         return self._hashes
 
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word; shorter words give noise that depends on the next words."""
+        up, down = _power_tables(len(self.data))
+        if self._total is None:
+            self.hashes()
+        stop = np.minimum(self.start + size, len(self.data))
+        return mix((self._total[stop] - self._total[self.start]) * down[self.start] + U64(0xABCDEF) * U64(size))
+
     def grams(self, n: int) -> np.ndarray:
         """Hash of the n words from each position; positions whose n words leave their text are noise."""
         return gram_hashes(self.hashes(), n)
