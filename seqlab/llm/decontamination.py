@@ -69,11 +69,12 @@ def _fingerprinted(df: DataFrame, key: str, window: int, k: int, short: list[int
         for rows, data, offsets in blocks(batches):
             words = Words(data, offsets, ALNUM)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(words.counts, pa.int64()), pa.array(_anchors(words, window, k, short, bits, whole_short), pa.list_(_ANCHOR))],
-                names=[key, "n_words", "anchors"])
+                [rows.column(0), rows.column(2), pa.array(words.counts, pa.int64()), pa.array(_anchors(words, window, k, short, bits, whole_short), pa.list_(_ANCHOR))],
+                names=[key, "text_key", "n_words", "anchors"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_words bigint, anchors {_ANCHOR_DDL}")
+    rows = df.select(key, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    return rows.mapInArrow(run, f"`{key}` {kind}, text_key bigint, n_words bigint, anchors {_ANCHOR_DDL}")
 
 
 def _equal_run(a: Column, b: Column) -> Column:
@@ -87,8 +88,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     """One row per row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null or empty texts have no words and no hits. Repeated rows each give a row. Items with a null id
-    mark words but are not listed; repeated item ids count once. An empty benchmark gives no hits. Columns
-    other than doc_id, item_id and text are ignored.
+    mark words but are not listed; repeated item ids count once. An empty benchmark gives no hits. A last
+    column, text_key, is the xxhash64 of the text. Columns other than doc_id, item_id and text are ignored.
     """
     lengths = _fingerprinted(benchmark.where("text is not null"), "item_id", window, k, [], None, False).select("n_words")
     short = sorted(r[0] for r in lengths.where((F.col("n_words") > 0) & (F.col("n_words") < window)).distinct().collect())
@@ -112,7 +113,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     named = (spans.select("row", "place").distinct().join(tests.select("place", "item_id").distinct(), "place")
              .where("item_id is not null").select("row", F.col("item_id").cast("string").alias("item")).distinct())
     listed = named.groupBy("row").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("items"))
-    joined = found.select("row", "doc_id", "n_words").join(marked.join(listed, "row", "left"), "row", "left")
+    joined = found.select("row", "doc_id", "text_key", "n_words").join(marked.join(listed, "row", "left"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-                         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+                         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "text_key")

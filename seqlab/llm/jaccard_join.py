@@ -221,7 +221,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     least = joined.groupBy("c").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
     named = joined.select(*identity, "id", "c").join(least, "c").join(ends, "id", "left")
     named = named.select(*identity, "component_id", F.col("first.row").alias("first_row"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = found.select("row", "doc_id", *identity).join(named, identity, "left")
+    out = found.select("row", "doc_id", "text_key", *identity).join(named, identity, "left")
     empty = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                      (empty | (F.col("row") == F.col("first_row"))).alias("first_of_component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+                      (empty | (F.col("row") == F.col("first_row"))).alias("first_of_component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key")

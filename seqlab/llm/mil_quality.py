@@ -160,23 +160,25 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, row
     return model.fit(np.concatenate(bags).astype(np.float64), first, found["label"].to_numpy(dtype=float))
 
 
-def score_quality(documents: DataFrame, model: AttentionModel, folds: int = FOLDS, threshold: float = PREDICT_FROM) -> DataFrame:
-    """One row per row: doc_id, held_out, score, predicted. Only the text enters the score.
+def score_quality(documents: DataFrame, model: AttentionModel, folds: int = FOLDS, threshold: float = PREDICT_FROM, carry: list[str] | None = None) -> DataFrame:
+    """One row per row: doc_id, held_out, score, predicted, then the columns named in ``carry``. Only the text enters the score.
 
     Null and empty texts are scored as one empty passage. Null ids count as the id '' for the fold. Repeated
     rows each give a row. Other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    carry = carry or []
 
     def run(batches):
-        for part, data, offsets in blocks(batches):
+        for part, data, offsets in blocks(batches, "_text"):
             scores = shared.value.scores(Words(data, offsets, NOT_SPACE, lower=False))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
-                                             names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), *part.columns[3:]],
+                                             names=["doc_id", "held_out", "score", "predicted", *carry])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", "text", (~training_row("doc_id", folds)).alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    kinds = {name: documents.schema[name].dataType.simpleString() for name in ["doc_id", *carry]}
+    rows = documents.select("doc_id", F.col("text").alias("_text"), (~training_row("doc_id", folds)).alias("_held"), *carry)
+    schema = f"doc_id {kinds['doc_id']}, held_out boolean, score double, predicted int" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return rows.mapInArrow(run, schema)
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

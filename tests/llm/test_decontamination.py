@@ -41,7 +41,7 @@ def key(rows):
 def check(spark, docs, items):
     d = spark.createDataFrame([(i, t, 7, "x") for i, t in docs], "doc_id bigint, text string, n_words int, item_id string")
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, fp int")
-    assert key(decontaminate(d, b).collect()) == key(brute(docs, items))
+    assert key(decontaminate(d, b).drop("text_key").collect()) == key(brute(docs, items))
 
 
 LONG = " ".join(f"w{i}" for i in range(40))
