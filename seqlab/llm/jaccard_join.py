@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlab.llm.blobs import pack, runs, small, unpack
 from seqlab.llm.graph import components
-from seqlab.llm.staging import hash_bitmap, in_bitmap, staged
+from seqlab.llm.staging import hash_bitmap, in_bitmap, staged, width
 from seqlab.llm.words import NOT_SPACE, U64, Words, blocks, mix, signed
 
 BAND_GROWTH = 1.5
@@ -123,6 +124,7 @@ def _checksums(sets: list[np.ndarray]) -> list[pa.Array]:
 def _pieces(documents: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
     """Sets cut for counting, for rows whose text key tests true: one row per set and fragment that is not empty."""
     def run(batches):
+        done: set[int] = set()  # a task sends a set once, however many copies it meets
         for rows, data, offsets in blocks(batches):
             keep = in_bitmap(wanted, rows.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
             if not keep.any():
@@ -131,6 +133,9 @@ def _pieces(documents: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
             out: list[tuple] = []
             sums = [a.to_pylist() for a in _checksums(sets)]
             for s, one, two in zip(sets, *sums):
+                if one in done or not len(s):
+                    continue
+                done.add(one)
                 edges = np.searchsorted(s >> U64(61), np.arange(COUNTING_FRAGMENTS + 1, dtype=np.uint64))
                 out += [(one, two, len(s), f, s[a:b].view(np.int64)) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
             names = ["sum1", "sum2", "n_shingles", "fragment", "grams"]
@@ -142,30 +147,81 @@ def _pieces(documents: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
     return rows.mapInArrow(run, "sum1 bigint, sum2 bigint, n_shingles bigint, fragment int, grams array<bigint>")
 
 
-def _explode_known(found: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(sum1, key) of the keys that test true in the bitmap of shared keys: most keys occur once and go no further."""
+def _shared_keys(found: DataFrame) -> DataFrame:
+    """(key, sum1) of the piece keys that different sets hold.
+
+    A task sends each bucket its keys as packed arrays; equal sets of a task count once, so copies are
+    merged before the shuffle. Most keys occur in one set and end in their bucket.
+    """
+    buckets = width(found)
+
+    def send(batches):
+        for batch in batches:
+            sums, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
+            batch = batch.take(pa.array(at))
+            keys = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(np.arange(len(sums)), np.diff(batch.column(1).offsets.to_numpy()))
+            bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+                if high > low:
+                    mine = order[low:high]
+                    used, place = np.unique(owner[mine], return_inverse=True)
+                    blob = pack(keys[mine], sums[used], small(place))
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+
+    def receive(table: pa.Table) -> pa.Table:
+        parts = [unpack(blob) for blob in table.column("blob").to_pylist()]
+        keys = np.concatenate([p[0] for p in parts])
+        sums = np.concatenate([p[1][p[2].astype(np.int64)] for p in parts])
+        order = np.lexsort((sums, keys))
+        keys, sums = keys[order], sums[order]
+        once = runs(keys, sums)
+        keys, sums = keys[once], sums[once]
+        group = runs(keys)
+        size = np.diff(np.append(group, len(keys)))
+        keep = np.repeat(size > 1, size)
+        return pa.Table.from_arrays([pa.array(signed(keys[keep])), pa.array(signed(sums[keep]))], names=["key", "sum1"])
+
+    packed = found.select("sum1", "keys").mapInArrow(send, "bucket int, blob binary")
+    return packed.groupBy("bucket").applyInArrow(receive, "key bigint, sum1 bigint")
+
+
+def _only(pieces: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pieces whose hashed id tests true in a bitmap of ``ids``: few others pass, none of these is left out."""
+    bits = hash_bitmap(ids.select(F.xxhash64("id").alias("h")), "h")
+
     def run(batches):
         for batch in batches:
-            keys = batch.column(1)
-            values = keys.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy()))
-            keep = in_bitmap(wanted, values.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(values[keep])], names=["sum1", "key"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(in_bitmap(bits, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))) for c in batch.columns[1:]],
+                                             names=batch.schema.names[1:])
 
-    return found.select("sum1", "keys").mapInArrow(run, "sum1 bigint, key bigint")
+    rows = pieces.select(F.xxhash64("id").alias("h"), "id", "fragment", "grams", "n_shingles")
+    return rows.mapInArrow(run, "id bigint, fragment int, grams array<bigint>, n_shingles bigint")
 
 
-def linked(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those that reach the similarity: partial overlaps per fragment, summed per pair."""
-    left = pieces.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("ga"), F.col("n_shingles").alias("na"))
-    right = pieces.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb"), F.col("n_shingles").alias("nb"))
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    met = pairs.join(left, "a").join(right, ["b", "fragment"]).where(small * 100 >= large * percent)
+def _linked_rows(left: DataFrame, pieces: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among pieces ``left`` (a, b, fragment, grams, n_shingles) and those of the sets b, the ``partners``.
+
+    Partial overlaps are counted per fragment and summed per pair.
+    """
+    needed = _only(pieces, partners.select(F.col("b").alias("id")))
+    right = needed.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb"), F.col("n_shingles").alias("nb"))
+    met = left.select("a", "b", "fragment", F.col("grams").alias("ga"), F.col("n_shingles").alias("na")).join(right, ["b", "fragment"])
+    met = met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     counted = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
     return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
+def linked(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) those that reach the similarity."""
+    pairs = staged(pairs)
+    left = _only(pieces, pairs.select(F.col("a").alias("id"))).withColumnRenamed("id", "a")
+    return _linked_rows(left.join(pairs, "a"), pieces, pairs, percent)
+
+
 def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_shingles, component_id, first_of_component, n_links.
 
@@ -180,35 +236,32 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     classes = staged(found.where("n_shingles > 0").groupBy(*identity).agg(
         F.min("row").alias("id"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.min("text_key").alias("text_key")))
 
-    index = found.select("sum1", F.explode("keys").alias("key"))
-    shared = index.groupBy("key").agg(F.min("sum1").alias("low"), F.max("sum1").alias("high")).where("low <> high").select("key")
-    shared = staged(shared)
-    candidates = _explode_known(found, hash_bitmap(shared, "key"))
-    groups = candidates.join(shared, "key").distinct().join(classes.select("sum1", "id"), "sum1").select("key", "id").distinct()
-    groups = staged(groups)
-    ids = groups.select("id").distinct()
-    members = staged(classes.join(ids, "id"))
-    cut = _pieces(documents, hash_bitmap(members, "text_key"), n).join(members.select(*identity, "id"), identity)
-    pieces = staged(cut.dropDuplicates(["id", "fragment"]).select("id", "fragment", "grams", "n_shingles"))
-
-    def settle(links: DataFrame) -> DataFrame:
-        """key, id, component of every candidate group that is not yet within one component."""
-        placed = groups.join(components(links), F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-        placed = staged(placed)
-        open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        return staged(placed.join(open_keys, "key"))
+    groups = staged(_shared_keys(found).join(classes.select("sum1", "id"), "sum1").select("key", "id").distinct())
 
     def meet_one(rows: DataFrame) -> DataFrame:
+        """Each member of a group with the one member that a hash chooses, unless they are in one component."""
         one = rows.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("key", "id")).alias("one"))
         return rows.join(one, "key").where(F.col("c") != F.col("one.c")).select("key", "id", F.col("one.id").alias("one"))
 
     def pairs(meetings: DataFrame) -> DataFrame:
         return meetings.select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct()
 
-    # at first each class meets the chosen members of two of its groups only
-    meetings = meet_one(groups.withColumn("c", F.col("id")))
-    few = meetings.groupBy("id").agg(F.min_by("one", F.xxhash64("key")).alias("x"), F.max_by("one", F.xxhash64("key")).alias("y"))
-    links = staged(linked(pairs(few.select("id", F.explode(F.array("x", "y")).alias("one"))), pieces, percent))
+    # at first each class meets the chosen member of one of its groups only, which travels with its pieces
+    meetings = meet_one(groups.withColumn("c", F.col("id"))).groupBy("id").agg(F.min_by("one", F.xxhash64("key")).alias("one"))
+    members = staged(classes.join(groups.select("id").distinct(), "id").join(meetings, "id", "left").select(*identity, "id", "one", "text_key"))
+    # one exchange serves both the removal of copies and the join
+    cut = _pieces(documents, hash_bitmap(members, "text_key"), n).repartition(*identity).dropDuplicates([*identity, "fragment"])
+    pieces = staged(cut.join(members.drop("text_key"), identity).select("id", "one", "fragment", "grams", "n_shingles"))
+
+    def settle(links: DataFrame) -> DataFrame:
+        """key, id, component of every candidate group that is not yet within one component."""
+        placed = groups.join(components(links), F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+        placed = staged(placed)
+        open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        return staged(placed.join(open_keys, "key"))
+
+    met = pieces.where("one is not null").withColumnRenamed("one", "b").withColumnRenamed("id", "a")
+    links = staged(_linked_rows(met, pieces, members.where("one is not null").select(F.col("one").alias("b")), percent))
     rest = settle(links)
     links = staged(links.unionByName(linked(pairs(meet_one(rest)), pieces, percent)).distinct())
     rest = settle(links)

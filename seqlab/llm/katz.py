@@ -9,7 +9,7 @@ with where no count is small enough to be discounted.
 Tables and rows that grow with the corpus stay distributed:
 
 1. Word counts are one table, hashed by word. The at most FREQUENT most frequent words reach every task
-   as a sorted array (12 MB whatever the corpus); it only shortens what is sent.
+   as a sorted array (4 MB whatever the corpus); it only shortens what is sent.
 2. Every text is cut into bigrams once. A chunk of texts sends each bucket its distinct bigrams with the
    places of the texts that hold them. A bucket owns contexts (frequent ones are dealt out by bigram), so it has
    the whole bigram table of its contexts and scores all their occurrences where they are.
@@ -31,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlab.llm.blobs import pack, runs, small, unpack
 from seqlab.llm.staging import staged, training_row, width
 from seqlab.llm.words import NOT_SPACE, U64, Words, blocks, mix, signed
 
 K = 5
 FOLDS = 10
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 CHUNK_BYTES, CHUNK_TEXTS = 16 << 20, 60_000
 START, END = U64(0x5747A37B00000001), U64(0xE2D0F5EE00000002)
 RARE = np.uint32(0xFFFFFFFF)
@@ -89,10 +90,10 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if taken + words > FREQUENT:
             break
         taken, least = taken + words, 1 << int(power)
-    found = counts.where(F.col("n") >= least).toPandas()
-    hashes = found["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    found = counts.where(F.col("n") >= least).toArrow()
+    hashes = found.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], found["n"].to_numpy(dtype=np.int64)[order]
+    return hashes[order], found.column("n").to_numpy()[order]
 
 
 class Model:
@@ -129,35 +130,6 @@ class Model:
 
 # --- chunks to buckets --------------------------------------------------------------------------------
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    sink = pa.BufferOutputStream()
-    # columns of different lengths: one list each
-    batch = pa.RecordBatch.from_arrays([pa.array([a], pa.list_(pa.from_numpy_dtype(a.dtype))) for a in arrays], names=[str(i) for i in range(len(arrays))])
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(blob).read_next_batch()
-    return [c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns]
-
-
-def _small(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
-
-
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Starts of runs of equal rows in sorted columns."""
-    if not len(columns[0]):
-        return np.zeros(0, dtype=np.int64)
-    change = np.zeros(len(columns[0]), dtype=bool)
-    change[0] = True
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(change)
-
-
 def _bigrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, context, word) with START before and END after each text."""
     counts = words.counts
@@ -175,10 +147,10 @@ def _send(model: Model, chunk: int, ids: pa.Array, train: np.ndarray, text: np.n
     """(chunk, bucket, blob) rows of one chunk of texts; the blob of the last row describes the texts."""
     order = np.lexsort((word, context))
     text, context, word = text[order], context[order], word[order]
-    pair = _runs(context, word)
+    pair = runs(context, word)
     h, w = context[pair], word[pair]
     per = np.diff(np.append(pair, len(context)))
-    run = _runs(h)
+    run = runs(h)
     hot = np.repeat(model.hot(h[run]), np.diff(np.append(run, len(h))))
     bucket = ((np.where(hot, mix(mix(h) + w), mix(h)) >> U64(32)) * U64(model.buckets) >> U64(32)).astype(np.int64)
     by_bucket = np.argsort(bucket, kind="stable")
@@ -189,10 +161,10 @@ def _send(model: Model, chunk: int, ids: pa.Array, train: np.ndarray, text: np.n
         if not len(mine):
             continue
         hs, ws, n = h[mine], w[mine], per[mine]
-        starts = _runs(hs)
+        starts = runs(hs)
         place = np.repeat(pair[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         hi, wi = model.index(hs[starts]), model.index(ws)
-        yield chunk, b, _pack(hi, hs[starts][hi == RARE], _small(np.diff(np.append(starts, len(hs)))), wi, ws[wi == RARE], _small(n), _small(text[place]), flags)
+        yield chunk, b, pack(hi, hs[starts][hi == RARE], small(np.diff(np.append(starts, len(hs)))), wi, ws[wi == RARE], small(n), small(text[place]), flags)
     sizes = np.bincount(text, minlength=len(train))
     yield chunk, int(mix(np.array([chunk], dtype=np.uint64))[0] % U64(model.buckets)), b"T" + _texts(ids, train, sizes)
 
@@ -256,7 +228,7 @@ def _score_bucket(model: Model, table: pa.Table) -> pa.Table:
         if blob[:1] == b"T":
             out.append(_rows("T", 1, chunk=[chunk], blob=[blob[1:]]))
             continue
-        hi, hr, hn, wi, wr, n, text, bits = _unpack(blob)
+        hi, hr, hn, wi, wr, n, text, bits = unpack(blob)
         contexts = np.zeros(len(hi), dtype=np.uint64)
         contexts[hi == RARE], contexts[hi != RARE] = hr, model.hashes[hi[hi != RARE]]
         words = np.zeros(len(wi), dtype=np.uint64)
@@ -275,12 +247,12 @@ def _score_bucket(model: Model, table: pa.Table) -> pa.Table:
         return pa.concat_tables(out) if out else _rows("N", 0)
     h, w, c, of, n, text = map(np.concatenate, (hs, ws, counts, chunk_of, sizes, occurrences))
     order = np.lexsort((w, h))
-    starts = _runs(h[order], w[order])
+    starts = runs(h[order], w[order])
     pair_of = np.empty(len(h), dtype=np.int64)
     pair_of[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
     r = np.add.reduceat(c[order], starts)
     ph, pw = h[order][starts], w[order][starts]
-    group = _runs(ph)
+    group = runs(ph)
     context_of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(ph))))
     contexts = ph[group]
     hot = model.hot(contexts)
@@ -303,7 +275,7 @@ def _score_bucket(model: Model, table: pa.Table) -> pa.Table:
     base = np.bincount(cell, weights=base_log[pair], minlength=span)
     few = [np.bincount(cell[r[pair] == i], minlength=span) for i in range(1, K + 1)]
     sure = np.bincount(cell[known[pair]], minlength=span)
-    blobs = [_pack(s[a:z].astype(np.float32), base[a:z].astype(np.float32), _small(sure[a:z]), *[_small(f[a:z]) for f in few]) for a, z in zip(offset[:-1], offset[1:])]
+    blobs = [pack(s[a:z].astype(np.float32), base[a:z].astype(np.float32), small(sure[a:z]), *[small(f[a:z]) for f in few]) for a, z in zip(offset[:-1], offset[1:])]
     out.append(_rows("S", len(chunks), chunk=chunks, blob=blobs))
     out.append(_rows("N", 1, m=[[int((r == i).sum()) for i in range(1, K + 2)]]))
 
@@ -334,7 +306,7 @@ def _gather(table: pa.Table) -> pa.Table:
         if kind == "T":
             texts = pa.ipc.open_stream(blob).read_next_batch()
             continue
-        columns = [c.astype(np.float64) for c in _unpack(blob)]
+        columns = [c.astype(np.float64) for c in unpack(blob)]
         total = columns if total is None else [a + b for a, b in zip(total, columns)]
     size = texts.num_rows
     s, base, known, *few = [c[:size] for c in total]
