@@ -188,6 +188,40 @@ def _shared_keys(found: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(receive, "key bigint, sum1 bigint")
 
 
+def _loners(pieces: DataFrame, percent: int) -> DataFrame:
+    """Ids of sets with too many n-grams that no other of these sets holds to be linked with any of them."""
+    buckets = width(pieces)
+
+    def send(batches):
+        for batch in batches:
+            ids, grams = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            keys = mix(grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            owner = np.repeat(np.arange(len(ids)), np.diff(grams.offsets.to_numpy()))
+            bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+                if high > low:
+                    used, place = np.unique(owner[order[low:high]], return_inverse=True)
+                    blob = pack(keys[order[low:high]], ids[used], small(place))
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+
+    def receive(table: pa.Table) -> pa.Table:
+        parts = [unpack(blob) for blob in table.column("blob").to_pylist()]
+        keys = np.concatenate([p[0] for p in parts])
+        ids = np.concatenate([p[1][p[2].astype(np.int64)] for p in parts])
+        order = np.argsort(keys)
+        first = runs(keys[order])
+        alone = first[np.diff(np.append(first, len(keys))) == 1]
+        own, n = np.unique(ids[order][alone], return_counts=True)
+        return pa.Table.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["id", "own"])
+
+    own = pieces.select("id", "grams").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(receive, "id bigint, own bigint")
+    sizes = pieces.select("id", "n_shingles").distinct()
+    counted = own.groupBy("id").agg(F.sum("own").alias("own")).join(sizes, "id")
+    return counted.where((F.col("n_shingles") - F.col("own")) * 100 < F.col("n_shingles") * percent).select("id")
+
+
 def _only(pieces: DataFrame, ids: DataFrame) -> DataFrame:
     """Pieces whose hashed id tests true in a bitmap of ``ids``: few others pass, none of these is left out."""
     bits = hash_bitmap(ids.select(F.xxhash64("id").alias("h")), "h")
@@ -264,7 +298,9 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     links = staged(_linked_rows(met, pieces, members.where("one is not null").select(F.col("one").alias("b")), percent))
     rest = settle(links)
     links = staged(links.unionByName(linked(pairs(meet_one(rest)), pieces, percent)).distinct())
+    # what is left is often a family below the similarity, whose members differ in n-grams of their own
     rest = settle(links)
+    rest = staged(rest.join(_loners(staged(_only(pieces, rest.select("id"))), percent), "id", "left_anti"))
     other = rest.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
     across = rest.select("key", F.col("id").alias("a"), F.col("c").alias("ca")).join(other, "key").where("a < b and ca <> cb").select("a", "b").distinct()
     links = staged(links.unionByName(linked(across, pieces, percent)).distinct())

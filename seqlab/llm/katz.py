@@ -38,7 +38,7 @@ from seqlab.llm.words import NOT_SPACE, U64, Words, blocks, mix, signed
 K = 5
 FOLDS = 10
 FREQUENT = 1 << 18
-CHUNK_BYTES, CHUNK_TEXTS = 16 << 20, 60_000
+CHUNK_BYTES, CHUNK_TEXTS = 6 << 20, 60_000
 START, END = U64(0x5747A37B00000001), U64(0xE2D0F5EE00000002)
 RARE = np.uint32(0xFFFFFFFF)
 
