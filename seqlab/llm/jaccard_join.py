@@ -188,8 +188,8 @@ def _shared_keys(found: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(receive, "key bigint, sum1 bigint")
 
 
-def _loners(pieces: DataFrame, percent: int) -> DataFrame:
-    """Ids of sets with too many n-grams that no other of these sets holds to be linked with any of them."""
+def _shareable(pieces: DataFrame) -> DataFrame:
+    """(id, n, most): size of each set, and how many of its n-grams another of these sets holds too."""
     buckets = width(pieces)
 
     def send(batches):
@@ -217,9 +217,9 @@ def _loners(pieces: DataFrame, percent: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["id", "own"])
 
     own = pieces.select("id", "grams").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(receive, "id bigint, own bigint")
-    sizes = pieces.select("id", "n_shingles").distinct()
-    counted = own.groupBy("id").agg(F.sum("own").alias("own")).join(sizes, "id")
-    return counted.where((F.col("n_shingles") - F.col("own")) * 100 < F.col("n_shingles") * percent).select("id")
+    sizes = pieces.select("id", F.col("n_shingles").alias("n")).distinct()
+    own = own.groupBy("id").agg(F.sum("own").alias("own"))
+    return sizes.join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
 
 
 def _only(pieces: DataFrame, ids: DataFrame) -> DataFrame:
@@ -298,11 +298,14 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     links = staged(_linked_rows(met, pieces, members.where("one is not null").select(F.col("one").alias("b")), percent))
     rest = settle(links)
     links = staged(links.unionByName(linked(pairs(meet_one(rest)), pieces, percent)).distinct())
-    # what is left is often a family below the similarity, whose members differ in n-grams of their own
+    # what is left is often a family below the similarity, whose members differ in n-grams of their own:
+    # two sets share at most the smaller count of n-grams that others of the rest hold
     rest = settle(links)
-    rest = staged(rest.join(_loners(staged(_only(pieces, rest.select("id"))), percent), "id", "left_anti"))
-    other = rest.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    across = rest.select("key", F.col("id").alias("a"), F.col("c").alias("ca")).join(other, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    sized = rest.join(_shareable(staged(_only(pieces, rest.select("id")))), "id").where(F.col("most") * 100 >= F.col("n") * percent)
+    sized = staged(sized)
+    left, right = (sized.select("key", *(F.col(c).alias(c + side) for c in ("id", "c", "n", "most"))) for side in ("a", "b"))
+    enough = F.least("mosta", "mostb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    across = left.join(right, "key").where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & enough).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
     links = staged(links.unionByName(linked(across, pieces, percent)).distinct())
 
     joined = classes.join(components(links), F.col("id") == F.col("v"), "left").withColumn("c", F.coalesce("c", "id"))
