@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqlab.functions import composition as Q, descriptors as D, scalars as S
-from seqlab.operators import curation as C, frames, matching as M, metrics as ME, ranking as RK, resampling as RS
+from seqlab.operators import curation as C, features as FE, frames, matching as M, metrics as ME, ranking as RK, resampling as RS
 from seqlab.sources import files, sinks
 
 RECORD = "sequence string, label string, source_db string, source_split string, source_file string, record_id string, record_name string, raw_label string, doc_id long, frag_no long"
@@ -43,7 +44,50 @@ def test_relocation_and_quotas():
     assert served == {10: 1, 11: 1, 12: 2} and moves == [(10, 12, 1, 2)]
     with pytest.raises(ValueError):
         M.relocate_to_nearest({10: 5}, {10: 1, 11: 1})
+    assert M.relocate_to_nearest({}, {}) == ({}, [])
     assert M.capped_proportional([(10, 1, 5), (11, 1, 5), (12, 2, 9)], 6) == {10: 1, 11: 2, 12: 3}
+    assert M.capped_proportional([(10, 0, 5)], 3) == {}
+    assert M.capped_proportional([(10, 3, 1), (11, 1, 9)], 8) == {10: 1, 11: 7}
+    assert M.capped_proportional([(10, 3, 1), (11, 1, 2)], 8) == {10: 1, 11: 2}
+
+
+def test_relocation_and_quotas_keep_their_laws():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        lengths = range(10, 10 + int(rng.integers(1, 9)))
+        available = {k: int(rng.integers(0, 9)) for k in lengths}
+        wanted = {k: int(rng.integers(0, 6)) for k in lengths}
+        if sum(wanted.values()) <= sum(available.values()):
+            served, moves = M.relocate_to_nearest(wanted, available)
+            assert sum(served.values()) == sum(wanted.values()) and all(n <= available[k] for k, n in served.items())
+            left = {k: max(available[k] - wanted[k], 0) for k in lengths}
+            for target, donor, n, distance in moves:  # nobody nearer had room when this donor was asked
+                assert distance == abs(target - donor) and 0 < n <= left[donor]
+                assert not any(left[k] for k in lengths if (abs(k - target), k) < (distance, donor))
+                left[donor] -= n
+        hist = [(k, int(rng.integers(0, 6)), available[k]) for k in lengths]
+        total, positives = int(rng.integers(0, 40)), sum(p for _, p, _ in hist)
+        quotas = M.capped_proportional(hist, total)
+        assert set(quotas) == {k for k, p, _ in hist if p}
+        if positives:
+            floors = {k: min(int(p / positives * total), n) for k, p, n in hist if p}
+            assert all(floors[k] <= q <= available[k] for k, q in quotas.items())
+            assert sum(quotas.values()) == max(min(total, sum(available[k] for k in quotas)), sum(floors.values()))
+            extra = {k: quotas[k] - floors[k] for k in quotas}
+            most = max(extra.values())
+            assert all(e >= most - 1 or quotas[k] == available[k] for k, e in extra.items())
+
+
+def test_feature_labels(spark):
+    names = {
+        "AAC_C": ("AAC: Cys frequency", True), "ASDC_AC": ("ASDC: Ala-Cys pair", True), "DDE_AK": ("DDE: Ala-Lys deviation", False),
+        "CKSAAP_CW.gap3": ("CKSAAP: Cys-Trp (gap 3)", True), "CTDD_charge.1.residue25": ("CTDD: Charge (25%)", False),
+        "CTDD_some_key.2.residue100": ("CTDD: some key (100%)", False), "APAAC_Pc1.C": ("APAAC: Amphiphilicity (Cys)", True),
+        "DP_C": ("DistancePair: Cys spacing", True), "APAAC_Pc1.W": ("APAAC1:W", False), "AAC_Z": ("AAC: Z frequency", False), "other": ("other", False),
+    }
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
+    got = {r.name: (r.label, r.about) for r in df.select("name", FE.feature_label(F.col("name")).alias("label"), FE.about_residue(F.col("name"), "C").alias("about")).collect()}
+    assert got == {**names, None: (None, None)}
 
 
 def test_greedy_runs_match_one_by_one():
