@@ -7,7 +7,9 @@ in both: documents that share a piece are the candidates, and no linked pair is
 n-grams at once, so common passages alone seldom make candidates. Pieces of fewer than three n-grams are
 left out if a document has at most ``spare`` of them, for which ``spare`` further fragments are cut.
 
-For the candidates, overlaps are counted fragment by fragment (coarser fragments of the same order) and
+A candidate pair is first compared by sketches, about a byte for eight n-grams: every n-gram flips one bit, so
+sketches differ in at most as many bits as sets differ in n-grams, and pairs that differ in more bits than
+the similarity allows are out. For the others, overlaps are counted fragment by fragment (coarser fragments of the same order) and
 summed per pair, which gives the exact Jaccard similarity.
 
 Copies and near copies never form all their pairs. Equal sets are one class before anything is joined. In
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.llm.blobs import pack, runs, small, unpack
@@ -101,20 +103,48 @@ def _band_keys(grams: np.ndarray, band: int, percent: int) -> np.ndarray:
     return keys[rich] if parts - int(rich.sum()) <= spare else keys
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams that fall on each of 64 * 2^k bits, the least such number that is not below the set's size."""
+    bits = 64
+    while bits < len(grams):
+        bits *= 2
+    place = (mix(grams ^ U64(0x3C6EF372FE94F82B)) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _close(one: str, two: str, percent: int) -> Column:
+    """May sets of sizes n, with these sketches, reach the similarity? Never false for sets that do."""
+    def halved(own: str, other: str) -> Column:
+        n = F.size(other)
+        folded = F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > n, folded).otherwise(F.col(own))
+
+    a, b = f"sketch{one}", f"sketch{two}"
+    sizes = F.col(f"n{one}") + F.col(f"n{two}")
+    near = F.least(f"n{one}", f"n{two}") * 100 >= F.greatest(f"n{one}", f"n{two}") * percent
+    differ = F.zip_with(halved(a, b), halved(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    # sizes as near as this have sketches of one length, or of one and its double (percent is above 50)
+    return F.when(near, F.aggregate(differ, F.lit(0), lambda x, y: x + y) * (100 + percent) <= sizes * (100 - percent)).otherwise(False)
+
+
 def _signatures(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, two 64-bit checksums of the set, its piece keys, and a key of the text."""
+    """doc_id, size, two 64-bit checksums of the set, a key of the text, the piece keys and the sketch of the set."""
     def run(batches):
         for rows, data, offsets in blocks(batches):
             sets = shingle_sets(Words(data, offsets, NOT_SPACE), n)
             keys = [piece_keys(s, percent) for s in sets]
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(signed(np.concatenate(keys))))
+            sketches = [sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), *_checksums(sets), rows.column(2), lists],
-                names=["doc_id", "n_shingles", "sum1", "sum2", "text_key", "keys"])
+                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), *_checksums(sets), rows.column(2), _lists([signed(k) for k in keys]), _lists(sketches)],
+                names=["doc_id", "n_shingles", "sum1", "sum2", "text_key", "keys", "sketch"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sum1 bigint, sum2 bigint, text_key bigint, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sum1 bigint, sum2 bigint, text_key bigint, keys array<bigint>, sketch array<bigint>")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32), pa.array(np.concatenate(parts)))
 
 
 def _checksums(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -188,74 +218,22 @@ def _shared_keys(found: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(receive, "key bigint, sum1 bigint")
 
 
-def _shareable(pieces: DataFrame) -> DataFrame:
-    """(id, n, most): size of each set, and how many of its n-grams another of these sets holds too."""
-    buckets = width(pieces)
-
-    def send(batches):
-        for batch in batches:
-            ids, grams = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            keys = mix(grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            owner = np.repeat(np.arange(len(ids)), np.diff(grams.offsets.to_numpy()))
-            bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
-                if high > low:
-                    used, place = np.unique(owner[order[low:high]], return_inverse=True)
-                    blob = pack(keys[order[low:high]], ids[used], small(place))
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
-
-    def receive(table: pa.Table) -> pa.Table:
-        parts = [unpack(blob) for blob in table.column("blob").to_pylist()]
-        keys = np.concatenate([p[0] for p in parts])
-        ids = np.concatenate([p[1][p[2].astype(np.int64)] for p in parts])
-        order = np.argsort(keys)
-        first = runs(keys[order])
-        alone = first[np.diff(np.append(first, len(keys))) == 1]
-        own, n = np.unique(ids[order][alone], return_counts=True)
-        return pa.Table.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["id", "own"])
-
-    own = pieces.select("id", "grams").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(receive, "id bigint, own bigint")
-    sizes = pieces.select("id", F.col("n_shingles").alias("n")).distinct()
-    own = own.groupBy("id").agg(F.sum("own").alias("own"))
-    return sizes.join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-
-
-def _only(pieces: DataFrame, ids: DataFrame) -> DataFrame:
-    """Pieces whose hashed id tests true in a bitmap of ``ids``: few others pass, none of these is left out."""
-    bits = hash_bitmap(ids.select(F.xxhash64("id").alias("h")), "h")
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(in_bitmap(bits, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))) for c in batch.columns[1:]],
-                                             names=batch.schema.names[1:])
-
-    rows = pieces.select(F.xxhash64("id").alias("h"), "id", "fragment", "grams", "n_shingles")
-    return rows.mapInArrow(run, "id bigint, fragment int, grams array<bigint>, n_shingles bigint")
-
-
-def _linked_rows(left: DataFrame, pieces: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among pieces ``left`` (a, b, fragment, grams, n_shingles) and those of the sets b, the ``partners``.
-
-    Partial overlaps are counted per fragment and summed per pair.
-    """
-    needed = _only(pieces, partners.select(F.col("b").alias("id")))
-    right = needed.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb"), F.col("n_shingles").alias("nb"))
-    met = left.select("a", "b", "fragment", F.col("grams").alias("ga"), F.col("n_shingles").alias("na")).join(right, ["b", "fragment"])
-    met = met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+def linked(documents: DataFrame, members: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) those that reach the similarity. Partial overlaps are counted per fragment and summed per pair."""
+    pairs = staged(pairs)
+    wanted = members.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").drop("sketch")
+    wanted = staged(wanted)
+    identity = ["sum1", "sum2", "n_shingles"]
+    # one exchange serves both the removal of copies and the join
+    cut = _pieces(documents, hash_bitmap(wanted, "text_key"), n).repartition(*identity).dropDuplicates([*identity, "fragment"])
+    pieces = staged(cut.join(wanted.drop("text_key"), identity).select("id", "fragment", "grams", F.col("n_shingles").alias("n")))
+    left, right = (pieces.select(F.col("id").alias(x), "fragment", F.col("grams").alias("g" + x), F.col("n").alias("n" + x)) for x in "ab")
+    met = left.join(pairs, "a").join(right, ["b", "fragment"])
     counted = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
     return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
-def linked(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those that reach the similarity."""
-    pairs = staged(pairs)
-    left = _only(pieces, pairs.select(F.col("a").alias("id"))).withColumnRenamed("id", "a")
-    return _linked_rows(left.join(pairs, "a"), pieces, pairs, percent)
-
-
 def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_shingles, component_id, first_of_component, n_links.
 
@@ -277,15 +255,17 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
         one = rows.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("key", "id")).alias("one"))
         return rows.join(one, "key").where(F.col("c") != F.col("one.c")).select("key", "id", F.col("one.id").alias("one"))
 
-    def pairs(meetings: DataFrame) -> DataFrame:
-        return meetings.select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct()
+    members = groups.select("id").distinct().join(found.select(F.col("row").alias("id"), "sketch"), "id")
+    members = staged(members.join(classes, "id").select("id", *identity, "text_key", "sketch"))
 
-    # at first each class meets the chosen member of one of its groups only, which travels with its pieces
-    meetings = meet_one(groups.withColumn("c", F.col("id"))).groupBy("id").agg(F.min_by("one", F.xxhash64("key")).alias("one"))
-    members = staged(classes.join(groups.select("id").distinct(), "id").join(meetings, "id", "left").select(*identity, "id", "one", "text_key"))
-    # one exchange serves both the removal of copies and the join
-    cut = _pieces(documents, hash_bitmap(members, "text_key"), n).repartition(*identity).dropDuplicates([*identity, "fragment"])
-    pieces = staged(cut.join(members.drop("text_key"), identity).select("id", "one", "fragment", "grams", "n_shingles"))
+    def sketched(side: str) -> DataFrame:
+        return members.select(F.col("id").alias(side), F.col("n_shingles").alias("n" + side), F.col("sketch").alias("sketch" + side))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """Of pairs (id, one) of classes the links (a, b)."""
+        pairs = pairs.select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct()
+        close = pairs.join(sketched("a"), "a").join(sketched("b"), "b").where(_close("a", "b", percent)).select("a", "b")
+        return staged(linked(documents, members, close, n, percent))
 
     def settle(links: DataFrame) -> DataFrame:
         """key, id, component of every candidate group that is not yet within one component."""
@@ -294,19 +274,14 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
         open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         return staged(placed.join(open_keys, "key"))
 
-    met = pieces.where("one is not null").withColumnRenamed("one", "b").withColumnRenamed("id", "a")
-    links = staged(_linked_rows(met, pieces, members.where("one is not null").select(F.col("one").alias("b")), percent))
-    rest = settle(links)
-    links = staged(links.unionByName(linked(pairs(meet_one(rest)), pieces, percent)).distinct())
-    # what is left is often a family below the similarity, whose members differ in n-grams of their own:
-    # two sets share at most the smaller count of n-grams that others of the rest hold
-    rest = settle(links)
-    sized = rest.join(_shareable(staged(_only(pieces, rest.select("id")))), "id").where(F.col("most") * 100 >= F.col("n") * percent)
-    sized = staged(sized)
-    left, right = (sized.select("key", *(F.col(c).alias(c + side) for c in ("id", "c", "n", "most"))) for side in ("a", "b"))
-    enough = F.least("mosta", "mostb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    across = left.join(right, "key").where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & enough).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
-    links = staged(links.unionByName(linked(across, pieces, percent)).distinct())
+    # at first each class meets the chosen member of one of its groups only
+    links = links_of(meet_one(groups.withColumn("c", F.col("id"))).groupBy("id").agg(F.min_by("one", F.xxhash64("key")).alias("one")))
+    links = staged(links.unionByName(links_of(meet_one(settle(links)))).distinct())
+    # what is left is often a family below the similarity: its members are compared by their sketches as they meet
+    rest = staged(settle(links).join(sketched("id").withColumnsRenamed({"nid": "n", "sketchid": "sketch"}), "id"))
+    one, two = (rest.select("key", *(F.col(c).alias(c + side) for c in ("id", "c", "n", "sketch"))) for side in ("a", "b"))
+    across = one.join(two, "key").where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & _close("a", "b", percent))
+    links = staged(links.unionByName(links_of(across.select(F.col("ida").alias("id"), F.col("idb").alias("one")))).distinct())
 
     joined = classes.join(components(links), F.col("id") == F.col("v"), "left").withColumn("c", F.coalesce("c", "id"))
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
