@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from seqlab.llm.jaccard_join import band_limits, band_of, jaccard_components
+from seqlab.llm.jaccard_join import band_limits, band_of, jaccard_components, sketch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.01"
@@ -88,3 +89,15 @@ def test_families(spark, length, edits):
 def test_whole_table(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     check(spark, docs)
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        common, one, two = (rng.integers(0, 1 << 63, int(rng.integers(1, n)), dtype=np.uint64) for n in (400, 60, 60))
+        a, b = (np.unique(np.concatenate([common, own])) for own in (one, two))
+        x, y = sorted((sketch(a), sketch(b)), key=len)
+        while len(y) > len(x):
+            y = y[:len(y) // 2] ^ y[len(y) // 2:]
+        bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
