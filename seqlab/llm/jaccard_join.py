@@ -12,9 +12,11 @@ sketches differ in at most as many bits as sets differ in n-grams, and pairs tha
 the similarity allows are out. For the others, overlaps are counted fragment by fragment (coarser fragments of the same order) and
 summed per pair, which gives the exact Jaccard similarity.
 
-Copies and near copies never form all their pairs. Equal sets are one class before anything is joined. In
-every candidate group the members first meet one member of it, chosen by hash; then only members of
-different components meet, so a family of n near copies costs about n comparisons.
+Copies never form pairs: equal sets are one class before anything is joined. To find the components, in every
+candidate group the members first meet one member of it, chosen by hash; then only members of different
+components meet, so a family of n near copies costs about n comparisons. The links themselves lie within
+components. Once these stand, the classes of a component are dealt into tiles of bounded size and every two
+tiles meet once, which counts all overlaps exactly.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ from seqlab.llm.words import NOT_SPACE, U64, Words, blocks, mix, signed
 BAND_GROWTH = 1.5
 POOR_PIECE = 3
 COUNTING_FRAGMENTS = 8
+#: n-grams of a tile of a component, where a small set counts as LEAST_WEIGHT; and n-grams compared at a time.
+TILE_GRAMS = 1 << 15
+LEAST_WEIGHT = 512
+COLUMNS = 4096
 
 
 def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
@@ -151,7 +157,7 @@ def _checksums(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(signed(np.array([mix(s + U64(seed)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64))) for seed in (1, 2)]
 
 
-def _pieces(documents: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
+def _pieces(documents: DataFrame, wanted: np.ndarray, n: int, fragments: int = COUNTING_FRAGMENTS) -> DataFrame:
     """Sets cut for counting, for rows whose text key tests true: one row per set and fragment that is not empty."""
     def run(batches):
         done: set[int] = set()  # a task sends a set once, however many copies it meets
@@ -166,7 +172,7 @@ def _pieces(documents: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
                 if one in done or not len(s):
                     continue
                 done.add(one)
-                edges = np.searchsorted(s >> U64(61), np.arange(COUNTING_FRAGMENTS + 1, dtype=np.uint64))
+                edges = np.searchsorted(((s >> U64(32)) * U64(fragments)) >> U64(32), np.arange(fragments + 1, dtype=np.uint64))
                 out += [(one, two, len(s), f, s[a:b].view(np.int64)) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
             names = ["sum1", "sum2", "n_shingles", "fragment", "grams"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
@@ -234,19 +240,85 @@ def linked(documents: DataFrame, members: DataFrame, pairs: DataFrame, n: int, p
     return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
-def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of ``documents``: doc_id, n_shingles, component_id, first_of_component, n_links.
-
-    Links hold between different sets; n_links counts those that were found while joining classes, which
-    suffice to connect each component. Null or empty texts have an empty set, no links, and are their own
-    component. Repeated rows each give a row; a null id is never the smallest of a component unless all
-    its ids are null. ``first_of_component`` marks one row of each component (smallest id, then any). Other
-    columns are ignored.
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Number of n-grams that each set of ``one`` shares with each of ``two``, summed over runs of the order of n-grams."""
+    def laid(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (grams, owner), (others, holder) = laid(one), laid(two)
+    shared = np.intersect1d(grams, others)
+    common = np.zeros((len(one), len(two)), dtype=np.int64)
+
+    def placed(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(shared, values)
+        held = shared[np.minimum(at, len(shared) - 1)] == values
+        at, rows = at[held], rows[held]
+        order = np.argsort(at, kind="stable")
+        return at[order], rows[order]
+
+    if not len(shared):
+        return common
+    sides = [(*placed(grams, owner), len(one)), (*placed(others, holder), len(two))]
+    for begin in range(0, len(shared), COLUMNS):
+        dense = []
+        for at, rows, height in sides:
+            low, high = np.searchsorted(at, [begin, begin + COLUMNS])
+            block = np.zeros((height, min(COLUMNS, len(shared) - begin)), dtype=np.float32)
+            block[rows[low:high], at[low:high] - begin] = 1
+            dense.append(block)
+        common += np.rint(dense[0] @ dense[1].T).astype(np.int64)  # at most COLUMNS, exact in a float
+    return common
+
+
+def _tile_links(documents: DataFrame, placed: DataFrame, n: int, percent: int, pairs: bool) -> DataFrame:
+    """All links between classes of one component, for ``placed`` (id, c, sum1, sum2, n_shingles, text_key).
+
+    Rows (a, b, common) of linked classes, or with ``pairs`` false (id, n_links), to be summed.
     """
-    found = staged(_signatures(documents, n, percent).withColumn("row", F.monotonically_increasing_id()))
+    weight = F.sum(F.greatest("n_shingles", F.lit(LEAST_WEIGHT)))
+    tiles = placed.groupBy("c").agg(F.ceil(weight / TILE_GRAMS).cast("int").alias("tiles"))
     identity = ["sum1", "sum2", "n_shingles"]
+    wanted = staged(placed.join(tiles, "c").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")))
+    cut = _pieces(documents, hash_bitmap(wanted, "text_key"), n, 1).repartition(*identity).dropDuplicates(identity)
+    sets = staged(cut.join(wanted.drop("text_key"), identity).select("id", "c", "tile", "tiles", "grams"))
+    # a tile meets each tile of its component once, itself included
+    dealt = sets.select("id", "c", "tile", "grams", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("c", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "grams")
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, tile = table.column("id").to_numpy(), table.column("tile").to_numpy()
+        grams = [g.values.to_numpy(zero_copy_only=False).view(np.uint64) for g in table.column("grams")]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        sides = [np.flatnonzero(tile == low), np.flatnonzero(tile == high)]
+        if not (len(sides[0]) and len(sides[1])):
+            return none
+        one, two = ([grams[i] for i in side] for side in sides)
+        common = overlaps(one, two)
+        sizes = [np.array([len(g) for g in side]) for side in (one, two)]
+        reached = common * 100 >= (sizes[0][:, None] + sizes[1][None, :] - common) * percent
+        if low == high:
+            reached &= np.triu(np.ones_like(reached), 1)
+        x, y = np.nonzero(reached)
+        a, b = ids[sides[0][x]], ids[sides[1][y]]
+        if pairs:
+            return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(common[x, y])], names=["a", "b", "common"])
+        ends, count = np.unique(np.concatenate([a, b]), return_counts=True)
+        return pa.table([pa.array(ends), pa.array(count)], names=["id", "n_links"])
+
+    names = ["a", "b", "common"] if pairs else ["id", "n_links"]
+    none = pa.table([pa.array([], pa.int64())] * len(names), names=names)
+    return dealt.groupBy("c", "low", "high").applyInArrow(meet, ", ".join(f"{x} bigint" for x in names))
+
+
+IDENTITY = ["sum1", "sum2", "n_shingles"]
+
+
+def _joined(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their sets, and classes of equal sets with the smallest class ``c`` of their component."""
+    found = staged(_signatures(documents, n, percent).withColumn("row", F.monotonically_increasing_id()))
+    identity = IDENTITY
     classes = staged(found.where("n_shingles > 0").groupBy(*identity).agg(
-        F.min("row").alias("id"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.min("text_key").alias("text_key")))
+        F.min("row").alias("id"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "text_key")).alias("first"), F.min("text_key").alias("text_key")))
 
     groups = staged(_shared_keys(found).join(classes.select("sum1", "id"), "sum1").select("key", "id").distinct())
 
@@ -283,8 +355,42 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     across = one.join(two, "key").where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & _close("a", "b", percent))
     links = staged(links.unionByName(links_of(across.select(F.col("ida").alias("id"), F.col("idb").alias("one")))).distinct())
 
-    joined = classes.join(components(links), F.col("id") == F.col("v"), "left").withColumn("c", F.coalesce("c", "id"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    return found, staged(classes.join(components(links), F.col("id") == F.col("v"), "left").withColumn("c", F.coalesce("c", "id")).drop("v"))
+
+
+def _members(joined: DataFrame) -> DataFrame:
+    """Classes of the components that hold several."""
+    several = joined.groupBy("c").count().where("count > 1").select("c")
+    return joined.join(several, "c").select("id", "c", *IDENTITY, "text_key")
+
+
+def jaccard_pairs(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """One row per link between different sets: doc_a, text_key_a, n_a, doc_b, text_key_b, n_b, common.
+
+    Complete: every two different sets that reach the similarity. A set is named by the first row that holds
+    it (smallest id, then any); its copies share its links and are not repeated here.
+    """
+    _, joined = _joined(documents, n, percent)
+    links = _tile_links(documents, _members(joined), n, percent, pairs=True)
+
+    def side(x: str) -> DataFrame:
+        return joined.select(F.col("id").alias(x), F.col("first.doc_id").alias(f"doc_{x}"), F.col("first.text_key").alias(f"text_key_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+
+    return links.join(side("a"), "a").join(side("b"), "b").select(*(f"{x}_{y}" for y in "ab" for x in ("doc", "text_key", "n")), "common")
+
+
+def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """One row per row of ``documents``: doc_id, n_shingles, component_id, first_of_component, n_links.
+
+    Links hold between different sets; n_links is the number of different sets that reach the similarity with
+    the row's own (``jaccard_pairs`` lists them). Null or empty texts have an empty set, no links, and are their own
+    component. Repeated rows each give a row; a null id is never the smallest of a component unless all
+    its ids are null. ``first_of_component`` marks one row of each component (smallest id, then any). Other
+    columns are ignored.
+    """
+    found, joined = _joined(documents, n, percent)
+    identity = IDENTITY
+    ends = _tile_links(documents, _members(joined), n, percent, pairs=False).groupBy("id").agg(F.sum("n_links").alias("n_links"))
     least = joined.groupBy("c").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
     named = joined.select(*identity, "id", "c").join(least, "c").join(ends, "id", "left")
     named = named.select(*identity, "component_id", F.col("first.row").alias("first_row"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
