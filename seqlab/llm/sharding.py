@@ -21,6 +21,8 @@ from seqlab.operators.ranking import global_position
 
 #: Leading characters of a text dimension that its cell bounds look at; the order of equal prefixes is left to the tie-breakers.
 KEY_CHARACTERS = 6
+#: Names that the columns of documents do not use.
+ROW, SHARD, SLOT = "_seqlab_row", "_seqlab_shard", "_seqlab_slot"
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -89,13 +91,16 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     empty; null and repeated ids and equal rows are ordered by checksum, then arbitrarily, and each get their
     own slot. Other columns are ignored.
     """
+    return _assigned(documents.withColumn(ROW, F.monotonically_increasing_id()), documents.count(), shards).drop("row")
+
+
+def _assigned(numbered: DataFrame, total: int, shards: int) -> DataFrame:
+    """``shard_documents`` of ``total`` documents numbered by ``ROW``, with that number as ``row``."""
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-                            F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = numbered.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+                            F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col(ROW).alias("row"))
     dimensions = {"lang": text_key(F.col("lang")), "source": text_key(F.col("source")), "size": F.log2("size")}
     ordered = hilbert_order(rows, dimensions, ["lang", "source", "text_crc32", "doc_id", "row"])
-    total = documents.count()
     base, extra = divmod(total, shards)
     # the first ``extra`` shards hold one row more
     head = extra * (base + 1)
@@ -104,10 +109,15 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     shard = F.when(position < head, F.floor(position / (base + 1))).otherwise(late).cast("int")
     slot = F.when(position < head, position % (base + 1)).otherwise((position - head) % max(base, 1)).cast("long")
     return ordered.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"),
-                          F.lit(None).cast("int").alias("grown_shard"), "curve")
+                          F.lit(None).cast("int").alias("grown_shard"), "curve", "row")
 
 
-def write_shards(documents: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write the documents as one folder per shard, in slot order inside it."""
-    joined = documents.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(documents: DataFrame, path: str, shards: int = 40) -> None:
+    """Write the documents as one folder per shard, in slot order inside it.
+
+    Each row is written once, whatever its id: rows are numbered on a staged copy and meet their slots by that number.
+    """
+    numbered = staged(documents.withColumn(ROW, F.monotonically_increasing_id()))
+    assigned = _assigned(numbered, numbered.count(), shards).select(F.col("row").alias(ROW), F.col("shard").alias(SHARD), F.col("slot").alias(SLOT))
+    placed = numbered.join(assigned, ROW).repartitionByRange(SHARD, SLOT).sortWithinPartitions(SHARD, SLOT)
+    placed.drop(ROW, SLOT).withColumnRenamed(SHARD, "shard").write.partitionBy("shard").parquet(path)
