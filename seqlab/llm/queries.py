@@ -93,3 +93,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.katz import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.periodic_runs import periodic_runs, planted_periods, run_digests
+
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_periods))
