@@ -100,3 +100,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.periodic_runs import periodic_runs, planted_periods, run_digests
 
     return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_periods))
+
+
+@register("op12_html_host_suffix_array")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.html_extraction import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
