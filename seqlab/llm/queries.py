@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlab.llm import quality_rules, url_lists
+from seqlab.llm import phrase_mining, quality_rules, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.html_extraction import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@register("op11_toivonen_phrases", phrase_mining.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine_phrases(table(spark, sf_dir, "documents"))
