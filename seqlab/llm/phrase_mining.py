@@ -30,8 +30,8 @@ MIN_COUNT = 30
 SAMPLE_SHARE = 0.25
 #: bits of a bitmap of proposals: eight per proposal, within these bounds (8 MB at most)
 MIN_BITS, MAX_BITS = 16, 26
-#: counts held in a task before they are added up and sent
-HELD = 1 << 21
+#: counts held in a task before they are added up and sent, and the most that one batch carries
+HELD, BATCH = 1 << 19, 1 << 16
 
 _LETTERS = np.ones(256, dtype=bool)
 _LETTERS[[32, *range(9, 14), *b".,;:!?"]] = False
@@ -135,7 +135,9 @@ def _counts(documents: DataFrame, sizes: tuple[int, ...], wanted) -> DataFrame:
         def send():
             keys, tags, pre, suf, counts = _merged(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (tags, signed(pre), signed(suf), counts)], schema=_COUNT_SCHEMA)
+            for at in range(0, len(keys), BATCH):
+                upto = at + BATCH
+                yield pa.RecordBatch.from_arrays([pa.array(c[at:upto]) for c in (tags, signed(pre), signed(suf), counts)], schema=_COUNT_SCHEMA)
 
         for phrases in _phrase_blocks(batches):
             for size in sizes:
@@ -155,10 +157,10 @@ def _counts(documents: DataFrame, sizes: tuple[int, ...], wanted) -> DataFrame:
                 held.append((found, phrases.tag[at] | size, pre[at], suf[at], counts.astype(np.float64)))
                 size_held += len(found)
             if size_held >= HELD:
-                yield send()
+                yield from send()
                 size_held = 0
         if held:
-            yield send()
+            yield from send()
 
     return _narrow(documents).mapInArrow(scan, _COUNTS).groupBy("tag", "pre", "suf").agg(F.sum("a").alias("a"))
 
