@@ -8,8 +8,8 @@
 3. A border phrase that proves frequent is a failure: its extensions have not been counted. A further pass counts
    those, until no failure is left (at most one pass per length), so the result does not depend on the sample.
 
-Counts move as (tag, leading part, trailing part, count) after they were added up in the task and in Spark's
-partial aggregation. ``tag`` holds language and number of words. Phrases are named by 64-bit hashes built from
+Counts move as (tag, leading part, trailing part, count), added up in the task and packed by bucket of the name; the
+number of buckets grows with the text, so that one bucket is small. ``tag`` holds language and number of words. Phrases are named by 64-bit hashes built from
 those of their parts, so every part of a frequent phrase, itself frequent, is found by its name.
 """
 
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqlab.llm.blobs import pack, runs, small, unpack
 from seqlab.llm.staging import staged
 from seqlab.llm.words import U64, Words, blocks, mix, signed
 
@@ -30,16 +31,16 @@ MIN_COUNT = 30
 SAMPLE_SHARE = 0.25
 #: bits of a bitmap of proposals: eight per proposal, within these bounds (8 MB at most)
 MIN_BITS, MAX_BITS = 16, 26
-#: counts held in a task before they are added up and sent, and the most that one batch carries
-HELD, BATCH = 1 << 19, 1 << 16
+#: counts held in a task before they are added up and sent, and bytes of text for each bucket of counts
+HELD, BUCKET_BYTES = 1 << 19, 4 << 20
 
 _LETTERS = np.ones(256, dtype=bool)
 _LETTERS[[32, *range(9, 14), *b".,;:!?"]] = False
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[*range(10, 14), *b".,;:!?"]] = True
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
-_COUNTS = "tag long, pre long, suf long, a long"
-_COUNT_SCHEMA = pa.schema([(c, pa.int64()) for c in ("tag", "pre", "suf", "a")])
+_COUNTS = "tag long, pre long, suf long, a long, key long"
+_COUNT_SCHEMA = pa.schema([(c, pa.int64()) for c in ("tag", "pre", "suf", "a", "key")])
 
 
 def joined_key(pre: np.ndarray, suf: np.ndarray, size) -> np.ndarray:
@@ -124,10 +125,11 @@ def _merged(parts: list[tuple]) -> tuple:
     return keys[first], tags[first], pre[first], suf[first], np.bincount(group, weights=counts).astype(np.int64)
 
 
-def _counts(documents: DataFrame, sizes: tuple[int, ...], wanted) -> DataFrame:
-    """Counts of the phrases of ``sizes`` words for which ``wanted(size, keys of the leading, of the trailing parts)`` holds.
+def _counts(documents: DataFrame, buckets: int, least: int, sizes: tuple[int, ...], wanted) -> DataFrame:
+    """(tag, pre, suf, a, key) of the phrases of ``sizes`` words that occur ``least`` times or more and for which
+    ``wanted(size, keys of the leading, of the trailing parts)`` holds.
 
-    Size 0 counts the words of a language, size 1 each word.
+    Size 0 counts the words of a language (at any number), size 1 each word.
     """
     def scan(batches):
         held, size_held = [], 0
@@ -135,9 +137,15 @@ def _counts(documents: DataFrame, sizes: tuple[int, ...], wanted) -> DataFrame:
         def send():
             keys, tags, pre, suf, counts = _merged(held)
             held.clear()
-            for at in range(0, len(keys), BATCH):
-                upto = at + BATCH
-                yield pa.RecordBatch.from_arrays([pa.array(c[at:upto]) for c in (tags, signed(pre), signed(suf), counts)], schema=_COUNT_SCHEMA)
+            bucket = (keys % U64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, tags, pre, suf, counts = (c[order] for c in (bucket, tags, pre, suf, counts))
+            first = runs(bucket)
+            blobs = []
+            for i, j in zip(first, np.append(first[1:], len(bucket))):
+                kinds, kind = np.unique(tags[i:j], return_inverse=True)
+                blobs.append(pack(kinds, small(kind), pre[i:j], suf[i:j], small(counts[i:j])))
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[first]), "data": pa.array(blobs, pa.binary())})
 
         for phrases in _phrase_blocks(batches):
             for size in sizes:
@@ -157,30 +165,30 @@ def _counts(documents: DataFrame, sizes: tuple[int, ...], wanted) -> DataFrame:
                 held.append((found, phrases.tag[at] | size, pre[at], suf[at], counts.astype(np.float64)))
                 size_held += len(found)
             if size_held >= HELD:
-                yield from send()
+                yield send()
                 size_held = 0
         if held:
-            yield from send()
+            yield send()
 
-    return _narrow(documents).mapInArrow(scan, _COUNTS).groupBy("tag", "pre", "suf").agg(F.sum("a").alias("a"))
+    def add_up(table: pa.Table) -> pa.Table:
+        parts = []
+        for blob in table.column("data").to_pylist():
+            kinds, kind, pre, suf, counts = unpack(blob)
+            tags = kinds[kind]
+            size = tags & 7
+            keys = np.where(size == 0, tags.view(np.uint64), np.where(size == 1, pre, joined_key(pre, suf, size)))
+            parts.append((keys, tags, pre, suf, counts.astype(np.float64)))
+        keys, tags, pre, suf, counts = _merged(parts)
+        keep = (counts >= least) | (tags & 7 == 0)
+        return pa.Table.from_arrays([pa.array(c[keep]) for c in (tags, signed(pre), signed(suf), counts, signed(keys))], schema=_COUNT_SCHEMA)
+
+    return _narrow(documents).mapInArrow(scan, "bucket int, data binary").groupBy("bucket").applyInArrow(add_up, _COUNTS)
 
 
 def _size(tag: str = "tag") -> Column:
     return F.col(tag).bitwiseAND(7)
 
 
-def _named(counts: DataFrame) -> DataFrame:
-    """Adds ``key``, the name of each phrase."""
-    def name(batches):
-        for batch in batches:
-            tag, pre, suf = (batch.column(c).to_numpy() for c in ("tag", "pre", "suf"))
-            size = tag & 7
-            key = np.where(size < 2, pre.view(np.uint64), joined_key(pre.view(np.uint64), suf.view(np.uint64), size.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(key))], schema=_COUNT_SCHEMA.append(pa.field("key", pa.int64())))
-
-    return counts.select("tag", "pre", "suf", "a").mapInArrow(name, _COUNTS + ", key long")
-
-
 def _bits_for(keys: DataFrame) -> np.ndarray:
     rows = keys.count()
     return key_bits(keys, min(max(MIN_BITS, math.ceil(math.log2(8 * rows + 1))), MAX_BITS))
@@ -198,15 +206,16 @@ def frequent_phrases(documents: DataFrame, min_count: int = MIN_COUNT, share: fl
     else:
         sample = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
         lowered = max(1, math.ceil(share * min_count - 1.65 * math.sqrt(share * min_count)))
-    proposed = staged(_named(_counts(sample, (1, 2), lambda size, pre, suf: np.ones(len(pre), dtype=bool)).where(F.col("a") >= lowered)))
+    buckets = -(-int(documents.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // BUCKET_BYTES)
+    few = max(1, int(buckets * min(share, 1)))
+    proposed = staged(_counts(sample, few, lowered, (1, 2), lambda size, pre, suf: np.ones(len(pre), dtype=bool)))
     known = {k: _bits_for(proposed.where(_size() == k)) for k in (1, 2)}
     pairs = send(known[2])
-    triples = staged(_named(_counts(sample, (3,), lambda size, pre, suf: in_bits(pairs.value, pre) & in_bits(pairs.value, suf)).where(F.col("a") >= lowered)))
+    triples = staged(_counts(sample, few, lowered, (3,), lambda size, pre, suf: in_bits(pairs.value, pre) & in_bits(pairs.value, suf)))
     known[3] = _bits_for(triples)
     bits = send(known)
     passed = lambda size, pre, suf: in_bits(bits.value[size - 1], pre) & in_bits(bits.value[size - 1], suf)
-    frequent = lambda counts: staged(_named(counts.where((F.col("a") >= min_count) | (_size() == 0))))
-    found = fresh = frequent(_counts(documents, (0, 1, 2, 3, 4), passed))
+    found = fresh = staged(_counts(documents, buckets, min_count, (0, 1, 2, 3, 4), passed))
     passes = 0
     while True:
         failed = _missing(fresh, bits)
@@ -221,7 +230,7 @@ def frequent_phrases(documents: DataFrame, min_count: int = MIN_COUNT, share: fl
             old, new = was.value[size - 1], now.value[size - 1]
             return in_bits(new, pre) & in_bits(new, suf) & ~(in_bits(old, pre) & in_bits(old, suf))
 
-        fresh = frequent(_counts(documents, (2, 3, 4), uncounted))
+        fresh = staged(_counts(documents, buckets, min_count, (2, 3, 4), uncounted))
         found, known, bits, passes = found.unionByName(fresh), wider, more, passes + 1
 
 
