@@ -29,10 +29,10 @@ from seqlab.llm.words import U64, Words, blocks, mix, signed
 WORDS = 4
 MIN_COUNT = 30
 SAMPLE_SHARE = 0.25
-#: bits of a bitmap of proposals: eight per proposal, within these bounds (8 MB at most)
-MIN_BITS, MAX_BITS = 16, 26
+#: bits of a bitmap for each of its members, within these bounds (8 MB at most)
+BITS_EACH, MIN_BITS, MAX_BITS = 32, 16, 26
 #: counts held in a task before they are added up and sent, and bytes of text for each bucket of counts
-HELD, BUCKET_BYTES = 1 << 19, 4 << 20
+HELD, BUCKET_BYTES = 1 << 18, 4 << 20
 
 _LETTERS = np.ones(256, dtype=bool)
 _LETTERS[[32, *range(9, 14), *b".,;:!?"]] = False
@@ -59,13 +59,13 @@ def key_bits(keys: DataFrame, log_bits: int) -> np.ndarray:
     segment = 1 << min(16, log_bits)
 
     def partial(batches):
-        seen = np.zeros(1 << log_bits, dtype=bool)
+        seen = np.zeros((1 << log_bits) // 8, dtype=np.uint8)
         for batch in batches:
-            seen[(batch.column(0).to_numpy().view(np.uint64) >> U64(64 - log_bits)).astype(np.int64)] = True
-        rows = seen.reshape(-1, segment)
+            slots = (batch.column(0).to_numpy().view(np.uint64) >> U64(64 - log_bits)).astype(np.int64)
+            np.bitwise_or.at(seen, slots >> 3, (128 >> (slots & 7)).astype(np.uint8))
+        rows = seen.reshape(-1, segment // 8)
         used = np.flatnonzero(rows.any(axis=1))
-        for i in used:
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "bits": pa.array([np.packbits(rows[i]).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"segment": pa.array(used, pa.int32()), "bits": pa.array([rows[i].tobytes() for i in used], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         joined = np.bitwise_or.reduce(np.stack([np.frombuffer(b, dtype=np.uint8) for b in table.column("bits").to_pylist()]), axis=0)
@@ -189,9 +189,8 @@ def _size(tag: str = "tag") -> Column:
     return F.col(tag).bitwiseAND(7)
 
 
-def _bits_for(keys: DataFrame) -> np.ndarray:
-    rows = keys.count()
-    return key_bits(keys, min(max(MIN_BITS, math.ceil(math.log2(8 * rows + 1))), MAX_BITS))
+def _bits_for(keys: DataFrame, each: int = BITS_EACH) -> np.ndarray:
+    return key_bits(keys, min(max(MIN_BITS, math.ceil(math.log2(each * keys.count() + 1))), MAX_BITS))
 
 
 def frequent_phrases(documents: DataFrame, min_count: int = MIN_COUNT, share: float = SAMPLE_SHARE) -> tuple[DataFrame, int]:
@@ -282,7 +281,7 @@ def scored_phrases(found: DataFrame, longer_percent: int = 80) -> DataFrame:
 
 def _strings(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, phrase) of the phrases in ``keys`` and of a few others."""
-    bits = documents.sparkSession.sparkContext.broadcast(_bits_for(keys))
+    bits = documents.sparkSession.sparkContext.broadcast(_bits_for(keys, 4096))
 
     def scan(batches):
         sent: set[int] = set()
