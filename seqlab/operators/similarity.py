@@ -6,6 +6,10 @@ different components meet, so a family that holds a third of all rows never form
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -81,14 +85,14 @@ def verified(pairs: DataFrame, identity: float) -> DataFrame:
     return pairs.where(F.abs(F.length("a") - F.length("b")) <= limit).where(within).select("a", "b").distinct()
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest vertex name per component, by label spreading with pointer jumping.
 
-    Every round is checkpointed to the shared folder; only the number of changes reaches the driver.
+    Every round is checkpointed to the shared folder; only whether a label changed reaches the driver.
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(vertices.select(F.col("sequence").alias("v"), F.col("sequence").alias("c")))
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("c").alias("_m"))
         lowered = labels.join(heard, labels["v"] == heard["a"], "left").select("v", F.least("c", F.coalesce("_m", "c")).alias("n"), "c")
         hop = labels.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
@@ -97,34 +101,152 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         labels = jumped.select("v", "c")
         if not changed:
             return labels.select(F.col("v").alias("sequence"), F.col("c").alias("cluster_id"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def similarity_clusters(sequences: DataFrame, identity: float = 0.8) -> DataFrame:
-    """Connected components of 'identity of the shorter at least ``identity``' over distinct sequences."""
-    distinct = materialise(sequences.select("sequence").distinct())
-    index = segment_index(distinct, identity)
-    probes = materialise(segment_probes(distinct, identity).repartition(shuffle_width(distinct), "token"))
-    # 1. every member meets the hub of its index entry: linear in the index
-    hubs = index.groupBy("token").agg(F.min("sequence").alias("hub"))
-    spokes = probes.join(hubs, "token").where("sequence <> hub")
-    first = materialise(verified(spokes.select(F.least("sequence", "hub").alias("a"), F.greatest("sequence", "hub").alias("b")), identity))
-    components = connected_components(distinct, first)
-    # 2. pairs across components only: component pairs per token, then their members
-    longer = probes.join(components, "sequence").select("token", F.col("cluster_id").alias("ca"), F.col("sequence").alias("a"))
-    shorter = index.join(components, "sequence").select("token", F.col("cluster_id").alias("cb"), F.col("sequence").alias("b"))
-    width = shuffle_width(distinct)
-    longer, shorter = materialise(longer.repartition(width, "token")), materialise(shorter.repartition(width, "token"))
-    meets = longer.select("token", "ca").distinct().join(shorter.select("token", "cb").distinct(), "token").where("ca <> cb")
-    across = meets.join(longer, ["token", "ca"]).join(shorter, ["token", "cb"])
-    second = materialise(verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), identity))
+
+
+GRAM = 3
+#: a token or pair of tokens that more sequences hold is split by a further one
+HOT = 512
+#: a longer list of one key is dealt into blocks that meet pairwise
+BLOCK = 4096
+_PAIRS_AT_ONCE = 1 << 21
+
+
+def _grams(df: DataFrame) -> DataFrame:
+    """(sid, sequence, n, token, df): the numbered q-grams of each sequence and in how many sequences each occurs."""
+    spots = F.sequence(F.lit(1), F.length("sequence") - (GRAM - 1))
+    grams = df.where(F.length("sequence") >= GRAM).select("sid", "sequence", F.transform(spots, lambda i: F.substring(F.col("sequence"), i, F.lit(GRAM))).alias("g"))
+    # the second occurrence of a gram is another token than the first: sets then count like bags
+    numbered = F.transform("g", lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(F.col("g"), 1, i), lambda y: y == x)).alias("nth")))
+    tokens = grams.select("sid", "sequence", F.size("g").alias("n"), F.explode(numbered).alias("t"))
+    tokens = tokens.select("sid", "sequence", "n", F.xxhash64("t.x", "t.nth").alias("token"))
+    return tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
+
+
+def similarity_keys(sequences: DataFrame, identity: float, hot: int = HOT) -> DataFrame:
+    """(sid, sequence, s1, s2, first, meets, key) of (sid, sequence): partners within the allowed edits agree in a key that ``meets``.
+
+    A sequence of length l shares c = l - q + 1 - q * edits of its q-grams (tokens) with any partner, so in rarest-first
+    order the first, second and third token that both hold are among the first n - c + 1, n - c + 2, n - c + 3. A first
+    token that more than ``hot`` sequences hold is split by the second one, and a pair of tokens expected in more
+    than ``hot`` sequences by the third one: lists stay short while the table grows. ``first`` marks keys of first
+    tokens, split or not. (s1, s2) is a sketch: one of 128 bits per token.
+    """
+    grams = _grams(sequences)
+    rows = float(max(sequences.count(), 1))
+    bit = lambda low: F.bit_or(F.when((F.pmod("token", F.lit(128)) >= low) & (F.pmod("token", F.lit(128)) < low + 64),
+                                      F.expr(f"shiftleft(1L, cast(pmod(token, 128) - {low} as int))")).otherwise(F.lit(0).cast("long")))
+    listed = grams.groupBy("sid", "sequence", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("w"), bit(0).alias("s1"), bit(64).alias("s2"))
+    listed = listed.withColumn("c", F.col("n") - GRAM * allowed_edits(F.length("sequence"), identity))
+    prefix = F.col("n") - F.greatest("c", F.lit(1)) + 1
+    upto = lambda k: F.slice(F.col("w"), 1, F.least(F.col("n"), prefix + k))
+    is_hot = lambda a: a["df"] > hot
+    hotter = lambda a, b: a["df"].cast("double") * b["df"] > hot * rows
+    entry = lambda size, split, *tokens: F.struct(F.lit(size).alias("size"), split.alias("split"), F.xxhash64(F.lit(size), *tokens).alias("key"))
+    one = F.transform(upto(0), lambda a: entry(1, is_hot(a), a["token"]))
+    two = F.flatten(F.transform(F.filter(upto(0), is_hot), lambda a: F.transform(
+        F.filter(upto(1), lambda b: b > a), lambda b: entry(2, hotter(a, b), a["token"], b["token"]))))
+    three = F.flatten(F.transform(F.filter(upto(0), is_hot), lambda a: F.flatten(F.transform(
+        F.filter(upto(1), lambda b: (b > a) & hotter(a, b)), lambda b: F.transform(
+            F.filter(upto(2), lambda d: d > b), lambda d: entry(3, F.lit(False), a["token"], b["token"], d["token"]))))))
+    keys = listed.select("sid", "sequence", "s1", "s2", "c", F.explode(F.concat(one, two, three)).alias("k"))
+    # partners that share no more than c tokens may have no longer key: both then keep the split one, among their own kind
+    short = F.col("c") <= F.col("k.size")
+    key = F.when(F.col("k.split") & short, F.xxhash64("k.key", F.lit("short"))).otherwise(F.col("k.key"))
+    return keys.select("sid", "sequence", "s1", "s2", (F.col("k.size") == 1).alias("first"), (~F.col("k.split") | short).alias("meets"), key.alias("key"))
+
+
+def _close_in_lists(identity: float):
+    """Reads rows sorted by (group, l): the pairs of each group that differ in component and whose lengths and sketches allow the identity."""
+    per_edit = round(1.0 - identity, 9)
+
+    def scan(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            group = table.column("grp").to_numpy()
+            # the last group may go on in the next batch
+            stop = table.num_rows if batch is None else int(np.searchsorted(group, group[-1]))
+            held = table.slice(stop)
+            if stop:
+                yield from pairs(table.slice(0, stop))
+
+    def pairs(table):
+        group, l, cid, blk, s1, s2 = (table.column(c).to_numpy() for c in ("grp", "l", "cid", "blk", "s1", "s2"))
+        s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
+        seq = table.column("sequence").combine_chunks()
+        run = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+        edits = np.floor(l * per_edit + 1e-9).astype(np.int64)
+        place = run * (2 * int(l.max()) + 2) + l
+        upper = np.searchsorted(place, run * (2 * int(l.max()) + 2) + l + edits, side="right")
+        counts = upper - np.arange(len(l)) - 1
+        ends = np.cumsum(counts)
+        at = 0
+        while at < len(l):
+            base = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, base + _PAIRS_AT_ONCE, side="right")))
+            n = counts[at:upto]
+            left = np.repeat(np.arange(at, upto), n)
+            right = left + 1 + np.arange(len(left)) - np.repeat(ends[at:upto] - n - base, n)
+            differ = (cid[left] != cid[right]) & ((blk[left] < 0) | (blk[left] != blk[right]))
+            left, right = left[differ], right[differ]
+            apart = np.bitwise_count(s1[left] ^ s1[right]).astype(np.int64) + np.bitwise_count(s2[left] ^ s2[right])
+            shared = l[right] - (GRAM - 1) - GRAM * edits[left]
+            near = apart <= l[left] + l[right] - 2 * (GRAM - 1) - 2 * shared
+            left, right = left[near], right[near]
+            if len(left):
+                yield pa.RecordBatch.from_arrays([seq.take(pa.array(left)), seq.take(pa.array(right))], names=["x", "y"])
+            at = upto
+
+    return scan
+
+
+def similarity_clusters(sequences: DataFrame, identity: float = 0.8, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """Connected components of 'identity of the shorter at least ``identity``' over distinct sequences; named by their smallest one.
+
+    Members first meet the hub of each of their first tokens, then, list by list, the members of other components.
+    ``q * (1 - identity)`` must leave shared q-grams: identities from 0.7 on. Sequences too short to share one for
+    certain meet their partners through the segment index.
+    """
+    if identity < 0.7:
+        raise ValueError("identity below 0.7 leaves no shared q-grams")
+    distinct = materialise(sequences.select("sequence").where("sequence is not null").distinct().select("sequence", F.monotonically_increasing_id().alias("sid")))
+    unbounded = lambda c: F.length(c) - (GRAM - 1) - GRAM * allowed_edits(F.length(c), identity) < 1
+    keys = materialise(similarity_keys(distinct.where(~unbounded("sequence")), identity, hot))
+    # 1. every member meets the hub of each of its first tokens: linear in the index
+    firsts = keys.where("first").select("key", "sequence")
+    hubs = firsts.groupBy("key").agg(F.min("sequence").alias("hub"))
+    spokes = firsts.join(hubs, "key").where("sequence <> hub")
+    first = verified(spokes.select(F.least("sequence", "hub").alias("a"), F.greatest("sequence", "hub").alias("b")), identity)
+    if distinct.where(unbounded("sequence")).limit(1).count():
+        x, y = segment_probes(distinct, identity).withColumnRenamed("sequence", "x"), segment_index(distinct, identity).withColumnRenamed("sequence", "y")
+        met = x.join(y, "token").where("x <> y").where(unbounded("x") | unbounded("y"))
+        first = first.unionByName(verified(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), identity)).distinct()
+    numbers = distinct.select(F.col("sequence").alias("_s"), "sid")
+    by_number = lambda pairs: pairs.join(numbers, F.col("a") == F.col("_s")).select("b", F.col("sid").alias("x")).join(numbers, F.col("b") == F.col("_s")).select(
+        F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"))
+    components = connected_components(distinct.select(F.col("sid").alias("sequence")), by_number(first)).select(F.col("sequence").alias("sid"), F.col("cluster_id").alias("cid"))
+    # 2. members of different components in one list; long lists are dealt into blocks that meet pairwise
+    meeting = keys.where("meets").drop("first", "meets").join(components, "sid")
+    long = meeting.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > block)  # at most one row for each ``block`` rows
+    blocks = F.ceil(F.col("rows") / block).cast("int")
+    dealt = meeting.join(long, "key", "left").withColumn("blk", F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("sid"), blocks).cast("int")))
+    tiles = F.when(F.col("blk").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("blk", o).alias("i"), F.greatest("blk", o).alias("j"))))
+    dealt = dealt.withColumn("tile", F.explode(tiles))
+    rows = dealt.select(F.xxhash64("key", "tile.i", "tile.j").alias("grp"), F.length("sequence").cast("long").alias("l"), F.col("cid"),
+                        F.when(F.col("blk").isNull() | (F.col("tile.i") == F.col("tile.j")), F.lit(-1)).otherwise(F.col("blk")).alias("blk"), "s1", "s2", "sequence")
+    lists = rows.repartition(shuffle_width(distinct), "grp").sortWithinPartitions("grp", "l")
+    met = lists.mapInArrow(_close_in_lists(identity), "x string, y string")
+    second = materialise(by_number(verified(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), identity)))
     # components already found stand for their members, so the second pass runs on components
-    names = components.select(F.col("sequence").alias("_s"), F.col("cluster_id").alias("_k"))
-    linked = second.join(names, second["a"] == names["_s"]).select("b", F.col("_k").alias("ka"))
-    linked = linked.join(names, linked["b"] == names["_s"]).select(F.col("ka").alias("a"), F.col("_k").alias("b")).distinct()
-    merged = connected_components(components.select(F.col("cluster_id").alias("sequence")).distinct(), linked)
-    merged = merged.select(F.col("sequence").alias("cluster_id"), F.col("cluster_id").alias("_final"))
-    return components.join(merged, "cluster_id").select("sequence", F.col("_final").alias("cluster_id"))
+    name = lambda side: components.select(F.col("sid").alias(side), F.col("cid").alias(f"c{side}"))
+    linked = second.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    merged = connected_components(components.select(F.col("cid").alias("sequence")).distinct(), linked)
+    final = materialise(components.join(merged.select(F.col("sequence").alias("cid"), F.col("cluster_id").alias("_final")), "cid").join(distinct, "sid").select("sequence", "_final"))
+    names = final.groupBy("_final").agg(F.min("sequence").alias("cluster_id"))
+    return final.join(names, "_final").select("sequence", "cluster_id")
 
 
 # --- novelty -----------------------------------------------------------------------------------------
