@@ -312,7 +312,7 @@ def autocorrelation(df: DataFrame, seq: str, scales: Mapping[str, Mapping[str, f
             broto = _lag_sum(v, v, lag, lambda a, b: a * b)
             out += [
                 guard(moran, spread / size).alias(f"Moran_{name}_lag{lag}"),
-                guard(geary, spread / (size - 1)).alias(f"Geary_{name}_lag{lag}"),
+                guard(geary, spread / F.greatest(size - 1, F.lit(1))).alias(f"Geary_{name}_lag{lag}"),
                 F.when(span > 0, broto / span).otherwise(F.lit(0.0)).alias(f"NMBroto_{name}_lag{lag}")]
     return df.select("*", *out).drop(*[f"_{k}_{n}" for n in scales for k in "vm"])
 

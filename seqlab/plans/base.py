@@ -58,6 +58,10 @@ records AS MATERIALIZED (
          doc_id, frag_no
   FROM frags WHERE length(seq) BETWEEN 10 AND 50)"""
 
+# Every fragment as a record, whatever its length: for descriptors the length rule is no part of.
+EVERY = f"""{FRAGS},
+records AS MATERIALIZED (SELECT seq AS sequence, length(seq) AS length, source AS source_db, record_id FROM frags)"""
+
 _LABELLED = """
   SELECT r.*, CASE WHEN l.{col} = 1 THEN 'positive' ELSE 'negative' END AS label,
          '{col}=' || l.{col} AS raw_label
@@ -129,6 +133,11 @@ def fragments(t) -> DataFrame:
     return df.withColumn("seq", lenient_clean(F.col("raw"))).where("seq <> ''")
 
 
+def every_record(t) -> DataFrame:
+    """All fragments in the columns of records, without the length rule."""
+    return fragments(t).select(F.col("seq").alias("sequence"), F.length("seq").cast("long").alias("length"), F.col("source").alias("source_db"), "record_id")
+
+
 def records(t) -> DataFrame:
     """Canonical records: fragments that pass the length rule."""
     df = fragments(t).where(length_ok(F.col("seq")))

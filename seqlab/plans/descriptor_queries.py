@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import composition as Q, descriptors as D, scalars as S
 from ..functions.scalars import RESIDUES
-from ..operators import features as FE
+from ..operators import features as FE, ordered_counts as OC
 from . import base as B
 from .registry import query
 
@@ -299,9 +299,16 @@ ASDC = ("flatten(list_transform(range(1, length(sequence)), lambda i: list_trans
         "lambda j: substr(sequence, i, 1) || substr(sequence, j, 1))))")
 
 
-@query("D24_asdc_profile", B.with_sql(B.RECORDS, profile_sql(ASDC, "records", "source_db").lstrip()))
+@query("D24_asdc_profile", B.with_sql(B.EVERY, """
+, letters AS MATERIALIZED (SELECT source_db, record_id, length, i, substr(sequence, i, 1) AS b FROM (SELECT *, unnest(range(1, length + 1)) AS i FROM records)),
+runs AS (SELECT x.source_db, x.record_id, x.length, x.b, a, sum(CASE WHEN x.b = a THEN 1 ELSE 0 END) OVER (PARTITION BY x.record_id, a ORDER BY x.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n
+  FROM letters x, (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS a)),
+pairs AS (SELECT source_db, record_id, a || b AS item, sum(n) AS n, any_value(length) AS length FROM runs WHERE n > 0 GROUP BY ALL),
+n_rows AS (SELECT source_db, count(*) AS n_rec FROM records GROUP BY 1)
+SELECT source_db, item AS feature, CAST(sum(n) AS BIGINT) AS n_occurrences, """.lstrip() + R("sum(n / (length * (length - 1) / 2.0)) / any_value(n_rec)") + """ AS mean_frequency
+FROM pairs JOIN n_rows USING (source_db) GROUP BY ALL"""))
 def _(t):
-    return _profile(B.records(t), "source_db", D.skip_pairs(D.chars(c("sequence"))))
+    return OC.skip_pair_profile(B.every_record(t), "source_db", "sequence").withColumn("mean_frequency", S.r6(c("mean_frequency")))
 
 
 # A supplied 10-letter residue clustering; any other mapping works the same way.
@@ -348,9 +355,9 @@ def _auto_sql() -> str:
     return f", a AS ({inner}) SELECT record_id, {cols} FROM a"
 
 
-@query("D26_autocorrelation", B.with_sql(B.RECORDS + lag_table(SCALES, LAGS), _auto_sql().lstrip()))
+@query("D26_autocorrelation", B.with_sql(B.EVERY + lag_table(SCALES, LAGS), _auto_sql().lstrip()))
 def _(t):
-    df = D.autocorrelation(B.records(t).select("record_id", "sequence"), "sequence", SCALES, LAGS)
+    df = D.autocorrelation(B.every_record(t).select("record_id", "sequence"), "sequence", SCALES, LAGS)
     names = [n for n in df.columns if n not in ("record_id", "sequence")]
     return df.select("record_id", *[S.r6(c(n)).alias(n) for n in names])
 
@@ -370,9 +377,9 @@ l AS (SELECT *, {lead} FROM v), tau AS (SELECT record_id, {tau} FROM l GROUP BY
 SELECT record_id, {shares}, {tails} FROM records JOIN tau USING (record_id)"""
 
 
-@query("D27_sequence_order", B.with_sql(B.RECORDS, _order_sql().lstrip()))
+@query("D27_sequence_order", B.with_sql(B.EVERY, _order_sql().lstrip()))
 def _(t):
-    df = D.with_quasi_order(B.records(t).select("record_id", "sequence"), "sequence", DISTANCE, 3)
+    df = D.with_quasi_order(B.every_record(t).select("record_id", "sequence"), "sequence", DISTANCE, 3)
     return df.select("record_id", *[S.r6(c(n)).alias(n) for n in df.columns if n.startswith(("SOCN", "QSO"))])
 
 
@@ -386,9 +393,9 @@ def _cov_sql() -> str:
     return f"SELECT record_id, {', '.join(out)} FROM lagged GROUP BY 1"
 
 
-@query("D28_covariance", B.with_sql(B.RECORDS + lag_table(SCALES, LAGS), _cov_sql()))
+@query("D28_covariance", B.with_sql(B.EVERY + lag_table(SCALES, LAGS), _cov_sql()))
 def _(t):
-    df = D.covariance(B.records(t).select("record_id", "sequence"), "sequence", SCALES, LAGS)
+    df = D.covariance(B.every_record(t).select("record_id", "sequence"), "sequence", SCALES, LAGS)
     return df.select("record_id", *[S.r6(c(n)).alias(n) for n in df.columns if n.startswith(("AC_", "CC_"))])
 
 
@@ -397,12 +404,12 @@ def _triad_sql() -> str:
         f"SELECT record_id, source_db, item, count(*) AS n FROM (SELECT record_id, source_db, unnest({tri('z', g)}) || '.gap{g}' AS item FROM coded) GROUP BY ALL" for g in GAPS)
     return f""", k AS ({selects}), m AS (SELECT *, max(n) OVER (PARTITION BY record_id, substr(item, 4)) AS top FROM k),
 rec AS (SELECT source_db, count(*) AS n_rec FROM coded GROUP BY 1)
-SELECT m.source_db, item AS feature, {B.r9_sql('sum(n / top) / any_value(n_rec)')} AS mean_share FROM m JOIN rec ON rec.source_db = m.source_db GROUP BY ALL"""
+SELECT m.source_db, item AS feature, {B.r9_sql('sum(n / top) / any_value(n_rec) + 1e-12')} AS mean_share FROM m JOIN rec ON rec.source_db = m.source_db GROUP BY ALL"""
 
 
-@query("D29_triad_profile", B.with_sql(B.RECORDS + coded(D.SEVEN_CLASSES, "records", "sequence", "source_db"), _triad_sql().lstrip()))
+@query("D29_triad_profile", B.with_sql(B.EVERY + coded(D.SEVEN_CLASSES, "records", "sequence", "source_db"), _triad_sql().lstrip()))
 def _(t):
-    return D.triad_profile(B.records(t), ["source_db"], "sequence", GAPS).withColumn("mean_share", S.r9(c("mean_share")))
+    return OC.class_triad_profile(B.every_record(t), "source_db", "sequence", GAPS, D.SEVEN_CLASSES).withColumn("mean_share", S.r9(c("mean_share") + 1e-12))  # the slack settles ties of the rounding
 
 
 PSEUDO = D.PSEUDO_PROPERTIES
@@ -412,7 +419,7 @@ AMPHI = {k: PSEUDO[k] for k in ("Hydrophobicity", "Hydrophilicity")}
 def _paac_sql() -> str:
     names = list(PSEUDO)
     theta = ", ".join(
-        f"sum({' + '.join(f'({n} - {n}_{k}) * ({n} - {n}_{k})' for n in names)}) / {len(names)} / (max(size) - {k}) AS t{k}" for k in LAGS)
+        f"coalesce(sum({' + '.join(f'({n} - {n}_{k}) * ({n} - {n}_{k})' for n in names)}) / {len(names)} / (max(size) - {k}), 0.0) AS t{k}" for k in LAGS)
     total = "(1.0 + 0.05::DOUBLE * (t1 + t2 + t3))"
     return f""", t AS (SELECT record_id, {theta} FROM lagged GROUP BY 1)
 SELECT record_id, {', '.join(f'{R(COUNT("sequence", r) + " / " + total)} AS "PAAC_Xc1.{r}"' for r in RESIDUES)},
@@ -421,7 +428,7 @@ SELECT record_id, {', '.join(f'{R(COUNT("sequence", r) + " / " + total)} AS "PAA
 
 def _apaac_sql() -> str:
     terms = [(n, k) for k in LAGS for n in AMPHI]
-    theta = ", ".join(f"sum({n} * {n}_{k}) / (max(size) - {k}) AS t_{n}_{k}" for n, k in terms)
+    theta = ", ".join(f"coalesce(sum({n} * {n}_{k}) / (max(size) - {k}), 0.0) AS t_{n}_{k}" for n, k in terms)
     total = f"(1.0 + 0.05::DOUBLE * ({' + '.join(f't_{n}_{k}' for n, k in terms)}))"
     return f""", t AS (SELECT record_id, {theta} FROM lagged GROUP BY 1)
 SELECT record_id, {', '.join(f'{R(COUNT("sequence", r) + " / " + total)} AS "APAAC_Pc1.{r}"' for r in RESIDUES)},
@@ -432,14 +439,14 @@ def _named(df, prefix):
     return df.select("record_id", *[S.r6(c(f"`{n}`")).alias(n) for n in df.columns if n.startswith(prefix)])
 
 
-@query("D30_paac", B.with_sql(B.RECORDS + lag_table(PSEUDO, LAGS), _paac_sql().lstrip()))
+@query("D30_paac", B.with_sql(B.EVERY + lag_table(PSEUDO, LAGS), _paac_sql().lstrip()))
 def _(t):
-    return _named(D.with_pseudo_composition(B.records(t).select("record_id", "sequence"), "sequence", PSEUDO, 3), "PAAC")
+    return _named(D.with_pseudo_composition(B.every_record(t).select("record_id", "sequence"), "sequence", PSEUDO, 3), "PAAC")
 
 
-@query("D30_apaac", B.with_sql(B.RECORDS + lag_table(AMPHI, LAGS), _apaac_sql().lstrip()))
+@query("D30_apaac", B.with_sql(B.EVERY + lag_table(AMPHI, LAGS), _apaac_sql().lstrip()))
 def _(t):
-    return _named(D.with_amphiphilic_composition(B.records(t).select("record_id", "sequence"), "sequence", AMPHI, 3), "APAAC")
+    return _named(D.with_amphiphilic_composition(B.every_record(t).select("record_id", "sequence"), "sequence", AMPHI, 3), "APAAC")
 
 
 @query("D31_reduced_alphabet", B.with_sql(B.FRAGS + coded(CLUSTERS_10), profile_sql(at("z", 1), "coded").lstrip()))
