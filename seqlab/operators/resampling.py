@@ -1,15 +1,19 @@
 """Bootstrap, permutation and McNemar tests with deterministic hash-keyed replicates.
 
-Every row gets its weights from a hash of its id, so all models and metrics share the replicates,
-and a lost task recomputes the same numbers. One md5 serves eight replicates (four hex digits each).
+Every row gets its draws from a hash of its id, so all models and metrics share the replicates, and a lost task
+recomputes the same numbers. One md5 serves eight bootstrap weights (four hex digits each) or 32 swaps. A row's
+draws are one array of numbers that is added to its group's (a cell of the confusion table, or a score and label);
+a task sends one sum per group and replicate, so replicates cost arithmetic but no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .metrics import confusion, ranking_metrics, threshold_metrics
 
@@ -27,29 +31,85 @@ def poisson_cuts(mean: float = 1.0, width: int = 16) -> list[str]:
         term *= mean / k
 
 
-def with_bootstrap_weights(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """One row per (row, replicate) with a positive Poisson(1) weight ``w``."""
-    block = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8)))
-    hashed = df.withColumn("_block", block).withColumn(
-        "_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("boot"), F.col(key), F.col("_block").cast("string"))))
-    weight = lambda piece: sum((F.when(piece >= cut, 1).otherwise(0) for cut in poisson_cuts()), F.lit(0))
-    lanes = F.array(*[
-        F.struct((F.col("_block") * 8 + i).cast("int").alias("replicate"), weight(F.substring("_h", 4 * i + 1, 4)).cast("long").alias("w")) for i in range(8)])
-    out = hashed.select(*df.columns, F.explode(lanes).alias("_l")).select(*df.columns, "_l.replicate", "_l.w")
-    return out.where((F.col("w") > 0) & (F.col("replicate") < replicates))
+#: numbers that a task holds for its groups before it sends them
+_HELD = 1 << 22
+
+
+def _grouped_draws(df: DataFrame, groups: Sequence[str], key: str, replicates: int, prefix: str, lanes: int, decode: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Sum of the rows' draws per group and replicate: (groups, replicate, w).
+
+    ``decode`` turns md5 digests (rows of 16 bytes) into ``lanes`` draws each.
+    """
+    import hashlib
+
+    narrow = df.select(*groups, F.col(key).cast("string").alias("_key"))
+    fields = narrow.select(*groups).schema
+    blocks = -(-replicates // lanes)
+
+    def scan(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        types = None
+
+        def send():
+            names = list(sums)
+            columns = [pa.array([n[i] for n in names for _ in range(replicates)], t) for i, t in enumerate(types)]
+            columns += [pa.array(np.tile(np.arange(replicates, dtype=np.int32), len(names))), pa.array(np.concatenate([sums[n] for n in names]))]
+            sums.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[*groups, "replicate", "w"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.column(i).type for i in range(len(groups))]
+            codes = {}
+            code = np.array([codes.setdefault(k, len(codes)) for k in zip(*(batch.column(i).to_pylist() for i in range(len(groups))))] or [0] * batch.num_rows)
+            names = list(codes) or [()]
+            ids = [f"{prefix}|{k}|" if k is not None else f"{prefix}|" for k in batch.column(len(groups)).to_pylist()]
+            step = max(1, _HELD // (blocks * lanes))
+            for at in range(0, len(ids), step):
+                digests = b"".join(hashlib.md5(f"{i}{n}".encode()).digest() for i in ids[at:at + step] for n in range(blocks))
+                draws = decode(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16)).reshape(-1, blocks * lanes)[:, :replicates]
+                part = code[at:at + step]
+                order = np.argsort(part, kind="stable")
+                first = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+                added = np.add.reduceat(draws[order], first, axis=0, dtype=np.int64)
+                for g, row in zip(part[order][first], added):
+                    held = sums.get(names[g])
+                    sums[names[g]] = row if held is None else held + row
+                if len(sums) * replicates > _HELD:
+                    yield send()
+        if sums:
+            yield send()
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    parts = narrow.mapInArrow(scan, f"{types}{', ' if types else ''}replicate int, w long")
+    return parts.groupBy(*groups, "replicate").agg(F.sum("w").alias("w"))
+
+
+def bootstrap_weights(df: DataFrame, groups: Sequence[str], key: str, replicates: int, seed: int) -> DataFrame:
+    """Sum of the rows' Poisson(1) weights per group and replicate: (groups, replicate, w), positive sums only."""
+    cuts = np.array([int(cut, 16) for cut in poisson_cuts()])
+    decode = lambda digests: np.searchsorted(cuts, digests.reshape(-1).view(">u2").astype(np.int64), side="right").astype(np.uint8)
+    return _grouped_draws(df, groups, key, replicates, f"{seed}|boot", 8, decode).where("w > 0")
 
 
 def bootstrap_metrics(df: DataFrame, by: Sequence[str], key: str, threshold: float, replicates: int, seed: int,
                       ranking: bool = False, bounds: Sequence[float] = ()) -> DataFrame:
-    """Metrics of every bootstrap replicate. Partial aggregates shrink the exploded rows in place."""
-    weighted = with_bootstrap_weights(df, key, replicates, seed)
+    """Metrics of every bootstrap replicate, from the summed weights of the cells and, for rankings, of the scores."""
     groups = [*by, "replicate"]
-    out = threshold_metrics(confusion(weighted, groups, F.col("prob") >= threshold, F.col("w")))
+    cells = bootstrap_weights(df.withColumn("_hit", F.col("prob") >= threshold), [*by, "label", "_hit"], key, replicates, seed)
+    out = threshold_metrics(confusion(cells, groups, F.col("_hit"), F.col("w")))
     if ranking:
-        out = out.join(ranking_metrics(weighted, groups, weight=F.col("w"), bounds=bounds).select(*groups, "roc_auc", "pr_auc"), groups)
+        out = out.join(bootstrap_ranking(df, by, key, replicates, seed, bounds), groups)
     return out
 
 
+def bootstrap_ranking(df: DataFrame, by: Sequence[str], key: str, replicates: int, seed: int, bounds: Sequence[float] = ()) -> DataFrame:
+    """ROC-AUC and average precision of every replicate, from the summed weights of each score and label."""
+    weighted = bootstrap_weights(df, [*by, "label", "prob"], key, replicates, seed)
+    return ranking_metrics(weighted, [*by, "replicate"], weight=F.col("w"), bounds=bounds).select(*by, "replicate", "roc_auc", "pr_auc")
+
+
 def interval(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """95 percent percentile interval per group."""
     return df.groupBy(*by).agg(F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
@@ -66,36 +126,34 @@ def one_sided_p(deltas: DataFrame, observed: Column) -> DataFrame:
         (F.count_if(F.col("delta") <= 0) + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
-def permutation_deltas(pairs: DataFrame, key: str, threshold: float, replicates: int, seed: int, metric: str = "accuracy") -> DataFrame:
-    """Metric of a minus metric of b after swapping both per row with probability one half.
+def permutation_deltas(pairs: DataFrame, key: str, threshold: float, replicates: int, seed: int) -> DataFrame:
+    """(replicate, metric, delta): every threshold metric of a minus that of b after swapping both per row with probability one half.
 
-    ``pairs`` holds label, prob_a and prob_b. Replicate -1 is the observed order. One md5 gives 32 swap bits.
+    ``pairs`` holds label, prob_a and prob_b. Replicate -1 is the observed order. Rows are counted by (label,
+    prediction of a, prediction of b); a replicate is known by how many rows of each cell it swaps.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 32)))
-    hashed = pairs.withColumn("_block", blocks).withColumn(
-        "_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("swap"), F.col(key), F.col("_block").cast("string"))))
-    lane = F.explode(F.sequence(F.lit(0), F.lit(31)))
-    spread = hashed.withColumn("_lane", lane).withColumn("replicate", F.col("_block") * 32 + F.col("_lane")).where(F.col("replicate") < replicates)
-    swap = F.substring(F.col("_h"), F.col("_lane") + 1, F.lit(1)) >= "8"
-    swapped = spread.select("replicate", "label", swap.alias("_swap"), "prob_a", "prob_b")
-    observed = pairs.select(F.lit(-1).alias("replicate"), "label", F.lit(False).alias("_swap"), "prob_a", "prob_b")
-    both = swapped.unionByName(observed)
-    sides = F.array(
-        F.struct(F.lit("a").alias("model"), F.when(F.col("_swap"), F.col("prob_b")).otherwise(F.col("prob_a")).alias("prob")),
-        F.struct(F.lit("b").alias("model"), F.when(F.col("_swap"), F.col("prob_a")).otherwise(F.col("prob_b")).alias("prob")))
-    long = both.select("replicate", "label", F.explode(sides).alias("s")).select("replicate", "label", "s.model", "s.prob")
-    if metric in ("roc_auc", "pr_auc"):
-        values = ranking_metrics(long, ["replicate", "model"], bounds=())
-    else:
-        values = threshold_metrics(confusion(long, ["replicate", "model"], F.col("prob") >= threshold))
-    return paired_deltas(values, "model", "a", "b", ["replicate"], metric)
+    cell = ["label", "_a", "_b"]
+    marked = pairs.withColumn("_a", F.col("prob_a") >= threshold).withColumn("_b", F.col("prob_b") >= threshold)
+    decode = lambda digests: np.stack([digests >> 7, (digests >> 3) & 1], axis=2).astype(np.uint8)
+    swapped = _grouped_draws(marked, cell, key, replicates, f"{seed}|swap", 32, decode)
+    swapped = swapped.unionByName(marked.select(*cell).distinct().select(*cell, F.lit(-1).alias("replicate"), F.lit(0).cast("long").alias("w")))
+    sizes = marked.groupBy(*cell).agg(F.count("*").alias("n"))
+    # at most two labels by two by two predictions
+    counts = swapped.join(F.broadcast(sizes), cell)
+    kept = F.col("n") - F.col("w")
+    part = lambda model, hit, w: F.struct(F.lit(model).alias("model"), hit.alias("hit"), w.alias("w"))
+    parts = F.array(part("a", F.col("_a"), kept), part("a", F.col("_b"), F.col("w")), part("b", F.col("_b"), kept), part("b", F.col("_a"), F.col("w")))
+    long = counts.select("replicate", "label", F.explode(parts).alias("p")).select("replicate", "label", "p.model", "p.hit", "p.w")
+    values = threshold_metrics(confusion(long, ["replicate", "model"], F.col("hit"), F.col("w")))
+    names = [n for n in values.columns if n not in ("replicate", "model", "tp", "fp", "tn", "fn", "n")]
+    return paired_deltas(values.unpivot(["replicate", "model"], names, "metric", "value"), "model", "a", "b", ["replicate", "metric"], "value")
 
 
 def permutation_p(deltas: DataFrame) -> DataFrame:
-    """Observed delta and (exceeding + 1) / (n + 1), with a slack for float noise; 1 when nothing was gained."""
-    observed = deltas.agg(F.max(F.when(F.col("replicate") == -1, F.col("delta"))).alias("observed"))
-    joined = deltas.where("replicate >= 0").crossJoin(F.broadcast(observed))  # one row on the right
-    return joined.agg(
+    """Per metric the observed delta and (exceeding + 1) / (n + 1), with a slack for float noise; 1 when nothing was gained."""
+    observed = F.max(F.when(F.col("replicate") == -1, F.col("delta"))).over(Window.partitionBy("metric"))  # one row per replicate
+    joined = deltas.withColumn("observed", observed).where("replicate >= 0")
+    return joined.groupBy("metric").agg(
         F.max("observed").alias("observed"),
         F.when(F.max("observed") <= 0, F.lit(1.0)).otherwise(
             (F.count_if(F.col("delta") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))

@@ -91,7 +91,7 @@ def _(t):
 
 # --- resampling -------------------------------------------------------------------------------------
 
-N_BOOT = 40
+N_BOOT, N_BOOT_RANKING, N_SWAPS = 200, 40, 200
 CUTS = RS.poisson_cuts()
 
 
@@ -117,13 +117,13 @@ def _(t):
     return rounded(RS.interval(long, ["model", "metric"], "value"), ["model", "metric"], ["low", "high"])
 
 
-@query("M08_bootstrap_auc", B.with_sql(B.PRED + boot_sql(16), f"""
-SELECT {R('quantile_cont(roc_auc, 0.025)')} AS low, {R('quantile_cont(roc_auc, 0.975)')} AS high FROM ({ranking_sql("(SELECT replicate, label, prob, w FROM weighted WHERE model = 'm')", 'replicate', 'w')})"""))
+@query("M08_bootstrap_auc", B.with_sql(B.PRED + boot_sql(N_BOOT_RANKING), f"""
+SELECT model, {R('quantile_cont(roc_auc, 0.025)')} AS low, {R('quantile_cont(roc_auc, 0.975)')} AS high FROM (
+  {ranking_sql("(SELECT model, replicate, label, prob, w FROM weighted)", 'model, replicate', 'w')}) GROUP BY model"""))
 def _(t):
-    only = B.predictions(t).where("model = 'm'").drop("model")
-    weighted = RS.with_bootstrap_weights(only, "cand_id", 16, SEED)
-    auc = M.ranking_metrics(weighted, ["replicate"], weight=c("w"), bounds=())
-    return rounded(RS.interval(auc, [], "roc_auc"), [], ["low", "high"])
+    df = B.predictions(t)
+    auc = RS.bootstrap_ranking(df, ["model"], "cand_id", N_BOOT_RANKING, SEED, M.score_bounds(df))
+    return rounded(RS.interval(auc, ["model"], "roc_auc"), ["model"], ["low", "high"])
 
 
 DELTA = B.PRED + boot_sql(N_BOOT) + """, delta AS (SELECT replicate, max(CASE WHEN model = 'a' THEN mcc END) - max(CASE WHEN model = 'm' THEN mcc END) AS delta FROM boot GROUP BY 1),
@@ -147,18 +147,23 @@ def _(t):
 
 
 @query("M10_permutation_test", B.with_sql(B.CAND, f"""
-, h AS (SELECT label, score_a, score_m, b, md5(concat_ws('|', '{SEED}', 'swap', cand_id, CAST(b AS VARCHAR))) AS h FROM cand, (SELECT unnest(range(0, 2)) AS b)),
+, h AS (SELECT label, score_a, score_m, b, md5(concat_ws('|', '{SEED}', 'swap', cand_id, CAST(b AS VARCHAR))) AS h FROM cand, (SELECT unnest(range(0, {(N_SWAPS - 1) // 32 + 1})) AS b)),
 l AS (SELECT label, b * 32 + i AS replicate, substr(h, CAST(i + 1 AS INT), 1) >= '8' AS sw, score_a, score_m FROM h, (SELECT unnest(range(0, 32)) AS i)),
-x AS (SELECT replicate, label, CASE WHEN sw THEN score_m ELSE score_a END AS pa, CASE WHEN sw THEN score_a ELSE score_m END AS pb FROM l
+x AS (SELECT replicate, label, CASE WHEN sw THEN score_m ELSE score_a END AS pa, CASE WHEN sw THEN score_a ELSE score_m END AS pb FROM l WHERE replicate < {N_SWAPS}
       UNION ALL SELECT -1, label, score_a, score_m FROM cand),
-d AS (SELECT replicate, (count(*) FILTER ((pa >= 0.5) = (label = 1)))::DOUBLE / count(*) - (count(*) FILTER ((pb >= 0.5) = (label = 1)))::DOUBLE / count(*) AS delta FROM x GROUP BY 1),
-o AS (SELECT max(delta) AS observed FROM d WHERE replicate = -1)
-SELECT {R('any_value(observed)')} AS observed, {R('CASE WHEN any_value(observed) <= 0 THEN 1.0 ELSE (count(*) FILTER (delta >= observed - 1e-12) + 1) / (count(*) + 1) END')} AS p_value
-FROM d, o WHERE replicate >= 0""".lstrip()))
+y AS (SELECT replicate, 'a' AS model, label, pa AS p FROM x UNION ALL SELECT replicate, 'b', label, pb FROM x),
+xc AS (SELECT replicate, model, count(*) FILTER (label = 1 AND p >= 0.5) AS tp, count(*) FILTER (label = 0 AND p >= 0.5) AS fp,
+  count(*) FILTER (label = 0 AND p < 0.5) AS tn, count(*) FILTER (label = 1 AND p < 0.5) AS fn FROM y GROUP BY ALL),
+xm AS (SELECT * FROM ({metrics_sql('xc', 'replicate, model')})),
+u AS (UNPIVOT xm ON sensitivity, specificity, "precision", npv, accuracy, balanced_accuracy, f1, mcc INTO NAME metric VALUE value),
+d AS (SELECT replicate, metric, max(CASE WHEN model = 'a' THEN value END) - max(CASE WHEN model = 'b' THEN value END) AS delta FROM u GROUP BY ALL),
+o AS (SELECT metric, delta AS observed FROM d WHERE replicate = -1)
+SELECT metric, {R('any_value(observed)')} AS observed, {R('CASE WHEN any_value(observed) <= 0 THEN 1.0 ELSE (count(*) FILTER (delta >= observed - 1e-12) + 1) / (count(*) + 1) END')} AS p_value
+FROM d JOIN o USING (metric) WHERE replicate >= 0 GROUP BY metric""".lstrip()))
 def _(t):
     pairs = B.candidates(t).select("cand_id", "label", c("score_a").alias("prob_a"), c("score_m").alias("prob_b"))
-    out = RS.permutation_p(RS.permutation_deltas(pairs, "cand_id", 0.5, 64, SEED))
-    return rounded(out, [], ["observed", "p_value"])
+    out = RS.permutation_p(RS.permutation_deltas(pairs, "cand_id", 0.5, N_SWAPS, SEED))
+    return rounded(out, ["metric"], ["observed", "p_value"])
 
 
 def _pairs(t):
