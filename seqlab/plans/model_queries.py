@@ -5,97 +5,101 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import descriptors as D, scalars as S
-from ..operators import comparison as K, matching as MT, metrics as M, models as ML, ranking as RK, shortcuts as SC
+from ..operators import boosting as BO, comparison as K, matching as MT, metrics as M, models as ML, ranking as RK, shortcuts as SC, similarity as SIM
 from . import base as B, jobs
 from .matching_queries import EXACT, LIBRARY, recursive
 from .metric_queries import DELTAS, fixed4_sql, full_metrics, metrics_sql, ranking_sql
 from .registry import query
 
 c = F.col
-SEEDS = (7, 13)
-# Small ensembles keep the queries short; the library default is the full 300 trees.
-SMALL_TREES = 5
+SEEDS = (7, 13, 29, 42, 101)
 R = B.r6_sql
+EMB = [f"e{i}" for i in range(64)]
 
 
-def _emb(t):
-    """Embedding rows as a binary task: classes 0-4 against 5-9."""
-    df = t.embeddings.select("vec_id", "embedding", F.when(c("label") >= 5, 1).otherwise(0).alias("label"))
-    return ML.hashed_split(df, "vec_id", 42)
+def _emb(t, task="upper"):
+    """Embedding rows as a binary task: classes 5-9 against 0-4, or odd against even classes."""
+    yes = c("label") >= 5 if task == "upper" else c("label") % 2 == 1
+    df = t.embeddings.select("vec_id", "embedding", F.when(yes, 1).otherwise(0).alias("label"))
+    return ML.hashed_split(df, "vec_id", 42).withColumn("features", c("embedding"))
 
 
-def _wide(t, n=12):
-    names = [f"e{i}" for i in range(n)]
-    return _emb(t).select("vec_id", "split", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(n)]), names
-
-
-def make(seed):
-    return ML.boosted_trees(seed, SMALL_TREES, 3)
+def _fitted(df, jobs, seeds=SEEDS):
+    """Models of a grid, stored in the shared folder and read back: later steps never fit again."""
+    models = BO.fit_ensembles(df.where("split = 'train'"), jobs, seeds)
+    return BO.load(df.sparkSession, BO.store(models))
 
 
 @query("L01_tree_ensemble")
 def _(t):
-    data = ML.from_array(_emb(t), "embedding").cache()
-    model = make(7).fit(data.where("split = 'train'"))
-    return ML.evaluate(ML.predict(model, data, ["split", "label"]), ["split"])
+    data = _emb(t)
+    models = _fitted(data, {"all": range(64)})
+    return ML.evaluate(BO.score(data.where("split <> 'train'"), models, ["split", "label"]), ["seed", "split"])
+
+
+def _grid(data, jobs):
+    scored = BO.score(data.where("split <> 'train'"), _fitted(data, jobs), ["split", "label"]).withColumnRenamed("name", "feature_group")
+    return K.seed_summary(ML.evaluate(scored, ["feature_group", "seed", "split"]), ["feature_group", "split"], ["roc_auc", "pr_auc"])
 
 
 @query("L02_screening_grid")
 def _(t):
-    df = _emb(t)
-    half = lambda start: ML.from_array(df.withColumn("embedding", F.slice("embedding", start, 32)), "embedding")
-    return ML.screening_grid({"first": half(1), "second": half(33)}, make, SEEDS)
+    tasks = [_grid(_emb(t, task), {"first": range(32), "second": range(32, 64)}).withColumn("task", F.lit(task)) for task in ("upper", "odd")]
+    return tasks[0].unionByName(tasks[1]).orderBy("task", "split", c("mean_roc_auc").desc())
 
 
 @query("L04_gain_importance")
 def _(t):
-    wide, names = _wide(t)
-    model = make(7).fit(ML.from_columns(wide, names).where("split = 'train'"))
-    return ML.importances(model, t.spark, names)
+    gains = BO.gains(_fitted(_emb(t), {"all": range(64)}), EMB)
+    return gains.groupBy("feature").agg(F.avg("gain").alias("gain"))
+
+
+def _ranked(gains):
+    """Feature positions by mean gain; as many as there are features."""
+    means = gains.groupBy("feature").agg(F.avg("gain").alias("gain")).orderBy(c("gain").desc(), "feature").collect()
+    return [int(r["feature"][1:]) for r in means]
 
 
 @query("L05_topk_sweep")
 def _(t):
-    wide, names = _wide(t)
-    return K.compact_topk(ML.topk_sweep(wide.cache(), names, (2, 4, 8), make, 7).withColumn("task", F.lit("emb")), 0.01)
+    data = _emb(t)
+    ranked = _ranked(BO.gains(_fitted(data, {"all": range(64)}), EMB))
+    models = _fitted(data, {f"{k:03d}": ranked[:k] for k in (4, 8, 16, 32, 48, 64)}, SEEDS[:1])
+    scored = BO.score(data.where("split = 'val'"), models, ["label"]).withColumn("k", c("name").cast("int"))
+    sweep = ML.evaluate(scored, ["k"]).select("k", c("roc_auc").alias("roc"), c("pr_auc").alias("pr"))
+    return K.compact_topk(sweep.withColumn("task", F.lit("emb")), 0.01)
 
 
 @query("L06_shared_union")
 def _(t):
-    wide, names = _wide(t)
-    data = wide.cache()
-    ranked = []
-    for seed in SEEDS:
-        fitted = make(seed).fit(ML.from_columns(data, names).where("split = 'train'"))
-        ranked.append(RK.top_per_group(ML.importances(fitted, t.spark, names).withColumn("task", F.lit(str(seed))), ["task"], [c("gain").desc(), c("feature").asc()], 4))
-    union = ranked[0].select("feature").union(ranked[1].select("feature")).distinct().orderBy("feature")
-    chosen = [r[0] for r in union.collect()]  # at most eight feature names
-    refit = ML.from_columns(data, chosen)
-    return ML.evaluate(ML.predict(make(7).fit(refit.where("split = 'train'")), refit, ["split", "label"]), ["split"])
+    data = _emb(t)
+    top = None
+    for task in ("upper", "odd"):
+        gains = BO.gains(_fitted(_emb(t, task), {task: range(64)}), EMB)
+        part = RK.top_per_group(gains.withColumn("task", F.concat_ws("|", "name", c("seed").cast("string"))), ["task"], [c("gain").desc(), c("feature").asc()], 16)
+        top = part if top is None else top.unionByName(part)
+    chosen = sorted(int(r["feature"][1:]) for r in top.select("feature").distinct().collect())  # at most one row per feature
+    return ML.evaluate(BO.score(data.where("split <> 'train'"), _fitted(data, {"union": chosen}), ["split", "label"]), ["seed", "split"])
 
 
 @query("L07_shortcut_balanced_branch")
 def _(t):
     rows = SC.with_shortcut_columns(B.unique_rows(t, "toxic")).withColumn("label", S.label_id(c("label")))
-    balanced = MT.balance_classes(rows, ["starts_m"], 42, "uid", "label")
-    feats = balanced.select("uid", "label", *D.aac(c("sequence")))
-    names = [f"AAC_{r}" for r in S.RESIDUES]
-    data = ML.from_columns(feats, names).cache()
-    gains = None
-    for seed in SEEDS:
-        part = ML.importances(make(seed).fit(data), t.spark, names)
-        gains = part if gains is None else gains.unionByName(part)
-    return gains.groupBy("feature").agg(F.avg("gain").alias("gain")).orderBy(c("gain").desc(), "feature").limit(8)
+    balanced = ML.hashed_split(MT.balance_classes(rows, ["starts_m"], 42, "uid", "label"), "uid", 42)
+    phys = [f"phys8_{n}" for n in D.PHYS8]
+    feats = D.with_phys8(balanced, "sequence").select("split", "label", F.array(*D.aac(c("sequence")), *phys).alias("features"))
+    names = [f"AAC_{r}" for r in S.RESIDUES] + phys
+    gains = BO.gains(_fitted(feats, {"all": range(len(names))}), names)
+    return gains.groupBy("feature").agg(F.avg("gain").alias("gain")).orderBy(c("gain").desc(), "feature").limit(512)
 
 
 @query("L08_modality_grid")
 def _(t):
-    docs = D.with_phys8(B.records(t).groupBy("doc_id").agg(F.max("sequence").alias("sequence")), "sequence")
-    phys = docs.select(c("doc_id").alias("vec_id"), F.array(*[f"phys8_{n}" for n in D.PHYS8]).alias("phys"))
-    joined = _emb(t).join(phys, "vec_id")
-    views = {"descriptors": c("phys"), "embedding": c("embedding").cast("array<double>"), "both": F.concat("phys", c("embedding").cast("array<double>"))}
-    groups = {k: ML.from_array(joined.withColumn("v", v), "v").select("split", "label", "features") for k, v in views.items()}
-    return ML.screening_grid(groups, make, (7,))
+    names = [f"phys8_{n}" for n in D.PHYS8]
+    docs = D.with_phys8(B.records(t), "sequence").groupBy("doc_id").agg(*[F.avg(n).alias(n) for n in names])
+    phys = docs.select(c("doc_id").alias("vec_id"), F.array(*names).alias("phys"))
+    joined = _emb(t).join(phys, "vec_id").withColumn("features", F.concat("phys", c("embedding").cast("array<double>")))
+    return _grid(joined, {"descriptors": range(8), "embedding": range(8, 72), "both": range(72)})
 
 
 @query("L10_linear_probe")
@@ -112,15 +116,15 @@ def _(t):
 @query("L12_perceptron")
 def _(t):
     data = ML.from_array(_emb(t), "embedding").cache()
-    model = ML.perceptron(7, 64, (16,), 30).fit(data.where("split = 'train'"))
-    return ML.evaluate(ML.predict(model, data, ["split", "label"]), ["split"])
+    model = ML.perceptron(7, 64).fit(data.where("split = 'train'"))
+    return ML.evaluate(ML.predict(model, data.where("split <> 'train'"), ["split", "label"]), ["split"])
 
 
 @query("L13_ensemble_scoring")
 def _(t):
-    data = ML.from_array(_emb(t), "embedding").cache()
-    models = {s: make(s).fit(data.where("split = 'train'")) for s in SEEDS}
-    long = ML.ensemble_scores(models, data, "vec_id")
+    data = _emb(t)
+    stored = BO.store(BO.fit_ensembles(data.where("split = 'train'"), {"all": range(64)}, SEEDS))
+    long = BO.score(data.where("split <> 'train'"), BO.load(t.spark, stored), ["vec_id"])
     return M.seed_ensemble(long, ["vec_id"], "seed", SEEDS)
 
 
@@ -151,7 +155,7 @@ def _(t):
 @query("Y02_policy_build")
 def _(t):
     built = jobs.build_benchmark(B.labelled(t), jobs.Policy(sources=("src0", "src1", "src2", "src3")))
-    clusters = built.select("fasta_id", F.substring("sequence", 1, 4).alias("cluster_id"))
+    clusters = built.join(SIM.similarity_clusters(built), "sequence").select("fasta_id", "cluster_id")
     return MT.split_summary(jobs.split_benchmark(built, clusters), "cluster_id", c("label") == "positive")
 
 
