@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlab.llm.staging import staged
+
 SALTS = 8
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 FOLDER = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)"
@@ -51,7 +53,8 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame) -> DataFrame:
     entry. A capture with a null URL or time matches nothing; repeated rows each give a row; other columns
     are ignored.
     """
-    rows = captures.select("page_id", "url", "fetched").withColumn("row", F.monotonically_increasing_id()).withColumn("host", host_of(F.col("url")))
+    # written once: both sides of the join below must see the same numbers, whatever order the input comes in
+    rows = staged(captures.select("page_id", "url", "fetched").withColumn("row", F.monotonically_increasing_id())).withColumn("host", host_of(F.col("url")))
     labels = F.split("host", r"\.")
     n = F.size(labels)
     above = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))

@@ -46,7 +46,8 @@ def with_record_types(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # written once: both sides of the join below must see the same numbers, whatever order the input comes in
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()))
     # nulls order last: a page without an id is a response only among its like
     least = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), F.col("page_id"), F.col("row")))
     shared = rows.where(F.col("size") >= SMALL_PAYLOAD).groupBy("digest").agg(least.alias("first"), F.count("*").alias("n")).where("n > 1")
