@@ -165,28 +165,47 @@ def discordant_counts(pairs: DataFrame, by: Sequence[str], threshold: float) ->
     return pairs.groupBy(*by).agg(F.count_if(a & ~b).alias("a_only"), F.count_if(~a & b).alias("b_only"))
 
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0: Stirling's series eight steps on."""
+    z = x + 8.0
+    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return series - sum((F.ln(x + float(i)) for i in range(1, 8)), F.ln(x))
+
+
+def half_beta(a: Column, b: Column) -> Column:
+    """Regularised incomplete beta function at 1/2, by its continued fraction; a, b > 0.
+
+    The fraction settles in a number of steps near the square root of the larger argument.
+    """
+    turned = 0.5 >= (a + 1) / (a + b + 2)  # the other side of the mean converges faster
+    p, q = F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b)
+    front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) - (p + q) * math.log(2.0)) / p
+    steps = F.sequence(F.lit(1), (30 + 4 * F.ceil(F.sqrt(F.greatest(a, b)))).cast("int"))
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def fraction(x: Column) -> Column:
+        p, q = x["p"], x["q"]
+
+        def step(s: Column, i: Column) -> Column:
+            m = i.cast("double")
+            even = m * (q - m) * 0.5 / ((p - 1 + 2 * m) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * 0.5 / ((p + 2 * m) * (p + 1 + 2 * m))
+            c1, d1 = 1 + even / s["c"], 1 / (1 + even * s["d"])
+            c2, d2 = 1 + odd / c1, 1 / (1 + odd * d1)
+            return state(c2, d2, s["h"] * c1 * d1 * c2 * d2)
+
+        d0 = 1 / (1 - (p + q) * 0.5 / (p + 1))
+        return F.aggregate(steps, state(F.lit(1.0), d0, d0), step, lambda s: s["h"])
+
+    value = front * F.get(F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), fraction), F.lit(0))
+    return F.when(turned, 1 - value).otherwise(value)
+
+
 def with_mcnemar_p(counts: DataFrame) -> DataFrame:
     """Exact one-sided binomial tail P(X >= a_only), X ~ Bin(a_only + b_only, 1/2); 1 without discordant pairs.
 
-    The tail is summed in pandas batches of result rows: one row per comparison, in log space.
+    The tail is the regularised incomplete beta function I(1/2; a_only, b_only + 1), so no table of terms is needed.
     """
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def tail(a, b):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        for hit, miss in zip(a.astype(int), b.astype(int)):
-            n = hit + miss
-            if n == 0 or hit == 0:
-                out.append(1.0)
-                continue
-            steps = np.log(np.arange(n, 0, -1)) - np.log(np.arange(1, n + 1))  # log C(n, k) by increments
-            logs = np.concatenate([[0.0], np.cumsum(steps)])[hit:] - n * math.log(2.0)
-            peak = logs.max()
-            out.append(float(min(1.0, math.exp(peak) * np.exp(logs - peak).sum())))
-        return pd.Series(out)
-
-    return counts.withColumn("p_value", tail("a_only", "b_only"))
+    hit = F.greatest(F.col("a_only"), F.lit(1)).cast("double")
+    tail = half_beta(hit, F.col("b_only").cast("double") + 1)
+    return counts.withColumn("p_value", F.when(F.col("a_only") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))))

@@ -177,9 +177,14 @@ def _(t):
     return RS.discordant_counts(_pairs(t), ["pool"], 0.5)
 
 
-@query("M11_mcnemar")
-def _(t):
-    return RS.with_mcnemar_p(RS.discordant_counts(_pairs(t), ["pool"], 0.5))
+@query("M11_mcnemar", B.with_sql(B.CAND, f"""
+, k AS (SELECT pool, count(*) FILTER ((score_a >= 0.5) = (label = 1) AND (score_m >= 0.5) <> (label = 1)) AS a_only,
+  count(*) FILTER ((score_a >= 0.5) <> (label = 1) AND (score_m >= 0.5) = (label = 1)) AS b_only FROM cand GROUP BY 1),
+term AS (SELECT *, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) AS p FROM (
+  SELECT *, a_only + b_only AS n, unnest(range(a_only, a_only + b_only + 1)) AS i FROM k))
+SELECT pool, a_only, b_only, {R('CASE WHEN a_only = 0 THEN 1.0 ELSE least(1.0, sum(p)) END')} AS p_value FROM term GROUP BY pool, a_only, b_only""".lstrip()))
+def _(t):
+    return rounded(RS.with_mcnemar_p(RS.discordant_counts(_pairs(t), ["pool"], 0.5)), ["pool", "a_only", "b_only"], ["p_value"])
 
 
 @query("M12_significance_table", B.with_sql(B.PRED + boot_sql(N_BOOT) + """, conf AS (SELECT model, count(*) FILTER (label = 1 AND prob >= 0.5) AS tp, count(*) FILTER (label = 0 AND prob >= 0.5) AS fp,
