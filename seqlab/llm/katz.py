@@ -12,13 +12,14 @@ Tables and rows that grow with the corpus stay distributed:
    as a sorted array (4 MB whatever the corpus); it only shortens what is sent.
 2. Every text is cut into bigrams once. A chunk of texts sends each bucket its distinct bigrams with the
    places of the texts that hold them. A bucket owns contexts (frequent ones are dealt out by bigram), so it has
-   the whole bigram table of its contexts and scores all their occurrences where they are.
+   the whole bigram table of its contexts and scores all their occurrences where they are, first counting, then
+   chunk by chunk. Buckets are as many as the corpus has tokens for, so their size does not grow.
 3. What discounts depend on (counts of counts) is known only after all buckets, so sums keep the number of
    bigrams seen once, twice, ... and the discounts are applied at the end. Back-off needs the probabilities of
    rare words: those few rows are joined with the table of word counts.
 
-The bigram of a hot pair is sent once per chunk with its texts; the rows of a chunk's texts come back as
-sums, one per bucket. Words are 64-bit hashes.
+The bigram of a hot pair is sent once per chunk with its texts; sums come back for the texts of a chunk that hold
+a bigram of the bucket. Words and bigrams are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ FREQUENT = 1 << 18
 CHUNK_BYTES, CHUNK_TEXTS = 6 << 20, 60_000
 START, END = U64(0x5747A37B00000001), U64(0xE2D0F5EE00000002)
 RARE = np.uint32(0xFFFFFFFF)
+#: Tokens a bucket is meant to hold, and bigrams that wait until they are merged with those of their bucket.
+BUCKET_TOKENS, PENDING = 3 << 20, 1 << 18
 
 
 def discounts(of_counts: list[int], k: int = K) -> list[float]:
@@ -122,6 +125,10 @@ class Model:
     def hot(self, contexts: np.ndarray) -> np.ndarray:
         return (contexts == START) | (self.count_of(contexts) >= self.hot_from)
 
+    def context_total(self, contexts: np.ndarray) -> np.ndarray:
+        """c(h) of frequent contexts: every text begins with START once, and a word is followed by one token."""
+        return np.where(contexts == START, self.documents, self.count_of(contexts))
+
     def probability(self, n: np.ndarray) -> np.ndarray:
         """P(w) of words with count n > 0."""
         d = np.array([0.0, *self.unigram, 1.0])
@@ -221,95 +228,139 @@ def _rows(kind: str, count: int, **columns) -> pa.Table:
     return pa.Table.from_arrays(full, schema=_OUT_ARROW)
 
 
-def _score_bucket(model: Model, table: pa.Table) -> pa.Table:
-    out, hs, ws, counts, chunk_of, sizes, occurrences = [], [], [], [], [], [], []
-    chunks, flags = [], []
-    for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist()):
-        if blob[:1] == b"T":
-            out.append(_rows("T", 1, chunk=[chunk], blob=[blob[1:]]))
-            continue
+class _Chunk:
+    """The distinct bigrams of one chunk that fall into one bucket, and the texts that hold them."""
+
+    def __init__(self, model: Model, blob: bytes):
         hi, hr, hn, wi, wr, n, text, bits = unpack(blob)
         contexts = np.zeros(len(hi), dtype=np.uint64)
         contexts[hi == RARE], contexts[hi != RARE] = hr, model.hashes[hi[hi != RARE]]
-        words = np.zeros(len(wi), dtype=np.uint64)
-        words[wi == RARE], words[wi != RARE] = wr, model.hashes[wi[wi != RARE]]
+        self.w = np.zeros(len(wi), dtype=np.uint64)
+        self.w[wi == RARE], self.w[wi != RARE] = wr, model.hashes[wi[wi != RARE]]
+        self.h = np.repeat(contexts, hn.astype(np.int64))
+        self.key = mix(mix(self.h) + self.w)
+        self.n, self.text = n.astype(np.int64), text.astype(np.int64)
         train = np.unpackbits(bits).astype(bool)
-        n = n.astype(np.int64)
-        hs.append(np.repeat(contexts, hn.astype(np.int64)))
-        ws.append(words)
-        counts.append(np.add.reduceat(train[text].astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]])))
-        sizes.append(n)
-        occurrences.append(text.astype(np.int64))
-        chunk_of.append(np.full(len(n), len(chunks)))
-        chunks.append(chunk)
-        flags.append(len(train))
+        self.trained = np.add.reduceat(train[self.text].astype(np.int64), np.concatenate([[0], np.cumsum(self.n)[:-1]]))
+
+
+class _Bigrams:
+    """The training bigrams of a bucket, sorted by hash: h, w, count r, and their contexts with totals c(h)."""
+
+    def __init__(self, model: Model, blobs: list[bytes]):
+        self.key = self.h = self.w = np.zeros(0, dtype=np.uint64)
+        self.r = np.zeros(0, dtype=np.int64)
+        waiting, size = [], 0
+        for blob in blobs:
+            chunk = _Chunk(model, blob)
+            seen = chunk.trained > 0
+            waiting.append((chunk.key[seen], chunk.h[seen], chunk.w[seen], chunk.trained[seen]))
+            size += int(seen.sum())
+            if size > max(len(self.key), PENDING):
+                self._merge(waiting)
+                waiting, size = [], 0
+        self._merge(waiting)
+        self.contexts, self.context_of = np.unique(self.h, return_inverse=True)
+        self.hot = model.hot(self.contexts)
+        self.total = np.bincount(self.context_of, weights=self.r, minlength=len(self.contexts)).astype(np.int64)
+        self.total[self.hot] = model.context_total(self.contexts[self.hot])
+
+    def _merge(self, waiting: list[tuple]) -> None:
+        key, h, w, r = (np.concatenate(c) for c in zip((self.key, self.h, self.w, self.r), *waiting))
+        self.key, first, where = np.unique(key, return_index=True, return_inverse=True)
+        self.h, self.w = h[first], w[first]
+        self.r = np.bincount(where, weights=r, minlength=len(self.key)).astype(np.int64)
+
+    def count(self, chunk: _Chunk) -> np.ndarray:
+        return _look_up(self.key, self.r, chunk.key)
+
+    def context_totals(self, model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """c(h), 0 for contexts not seen in training, and the place of h among the bucket's contexts or -1."""
+        place = _look_up(self.contexts, np.arange(len(self.contexts)), h, missing=-1)
+        total = np.where(place >= 0, np.append(self.total, 0)[place], 0)
+        away = np.flatnonzero(place < 0)  # the bigrams of a frequent context may all lie in other buckets
+        away = away[model.hot(h[away])]
+        total[away] = model.context_total(h[away])
+        return total, place
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int = 0) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), missing, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], missing)
+
+
+def _score_bucket(model: Model, table: pa.Table) -> pa.Table:
+    """Counts first, then one chunk at a time: memory holds the bucket's packed rows, its bigram types and one chunk."""
+    out, chunks, blobs = [], [], []
+    for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist()):
+        if blob[:1] == b"T":
+            out.append(_rows("T", 1, chunk=[chunk], blob=[blob[1:]]))
+        else:
+            chunks.append(chunk)
+            blobs.append(blob)
     if not chunks:
         return pa.concat_tables(out) if out else _rows("N", 0)
-    h, w, c, of, n, text = map(np.concatenate, (hs, ws, counts, chunk_of, sizes, occurrences))
-    order = np.lexsort((w, h))
-    starts = runs(h[order], w[order])
-    pair_of = np.empty(len(h), dtype=np.int64)
-    pair_of[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
-    r = np.add.reduceat(c[order], starts)
-    ph, pw = h[order][starts], w[order][starts]
-    group = runs(ph)
-    context_of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(ph))))
-    contexts = ph[group]
-    hot = model.hot(contexts)
-    total = np.add.reduceat(r, group)
-    total[hot] = np.where(contexts[hot] == START, model.documents, model.count_of(contexts[hot]))
-    m = np.stack([np.bincount(context_of[r == i], minlength=len(group)) for i in range(1, K + 1)], axis=1)
-    seen_log = np.where(r > 0, np.log10(np.maximum(r, 1) / (total[context_of] + 1)), 0.0)
-    base_log = np.where(ph == START, 0.0, np.log10(np.maximum(total[context_of], 0) + 0.1))
-    known = (ph != START) & (total[context_of] > 0)
-
-    wn = model.count_of(pw)
+    seen = _Bigrams(model, blobs)
+    asked = seen.hot.copy()
+    sums = []
+    for chunk, blob in zip(chunks, blobs):
+        part = _Chunk(model, blob)
+        sums.append(_sum_chunk(model, seen, part, asked, chunk, out))
+    out.append(_rows("S", len(chunks), chunk=chunks, blob=sums))
+    out.append(_rows("N", 1, m=[[int((seen.r == i).sum()) for i in range(1, K + 2)]]))
+
+    # contexts that a text backs off from, and the rare words that follow them
+    asked &= seen.total > 0
+    wn = model.count_of(seen.w)
+    mass = np.bincount(seen.context_of, weights=np.where(wn > 0, model.probability(np.maximum(wn, 0)), 0.0), minlength=len(seen.contexts))
+    few = np.stack([np.bincount(seen.context_of[seen.r == i], minlength=len(seen.contexts)) for i in range(1, K + 1)], axis=1)
+    picked = np.flatnonzero(asked)
+    discounted = pa.ListArray.from_arrays(np.arange(len(picked) + 1, dtype=np.int32) * K, pa.array(few[picked].reshape(-1).astype(np.int64)))
+    out.append(_rows("C", len(picked), h=signed(seen.contexts[picked]), n=seen.total[picked], x=mass[picked], m=discounted))
+    follow = np.flatnonzero((wn < 0) & asked[seen.context_of])
+    out.append(_rows("Y", len(follow), h=signed(seen.h[follow]), w=signed(seen.w[follow])))
+    return pa.concat_tables(out)
+
+
+def _sum_chunk(model: Model, seen: _Bigrams, part: _Chunk, asked: np.ndarray, chunk: int, out: list[pa.Table]) -> bytes:
+    """Sums for the texts of a chunk that hold a bigram of this bucket; events of backing off go to ``out``, their contexts to ``asked``."""
+    r = seen.count(part)
+    total, place = seen.context_totals(model, part.h)
     backs = r == 0
+    wn = model.count_of(part.w)
+    seen_log = np.where(backs, 0.0, np.log10(np.maximum(r, 1) / (total + 1)))
     back_log = np.where(backs & (wn > 0), np.log10(np.maximum(model.probability(np.maximum(wn, 0)), 1e-300)), 0.0)
-    # sums for the texts of each chunk
-    offset = np.concatenate([[0], np.cumsum(flags)])
-    cell = np.repeat(offset[of], n) + text
-    pair = np.repeat(pair_of, n)
-    span = offset[-1]
-    s = np.bincount(cell, weights=(seen_log + back_log)[pair], minlength=span)
-    base = np.bincount(cell, weights=base_log[pair], minlength=span)
-    few = [np.bincount(cell[r[pair] == i], minlength=span) for i in range(1, K + 1)]
-    sure = np.bincount(cell[known[pair]], minlength=span)
-    blobs = [pack(s[a:z].astype(np.float32), base[a:z].astype(np.float32), small(sure[a:z]), *[small(f[a:z]) for f in few]) for a, z in zip(offset[:-1], offset[1:])]
-    out.append(_rows("S", len(chunks), chunk=chunks, blob=blobs))
-    out.append(_rows("N", 1, m=[[int((r == i).sum()) for i in range(1, K + 2)]]))
-
-    # back-off: contexts that a text backs off from, and rare words on either side
+    base_log = np.where(part.h == START, 0.0, np.log10(total + 0.1))
+    known = (part.h != START) & (total > 0)
+    asked[place[backs & (place >= 0)]] = True
+
+    used, cell = np.unique(part.text, return_inverse=True)
+    pair = np.repeat(np.arange(len(part.n)), part.n)
+    s, base = (np.bincount(cell, weights=x[pair], minlength=len(used)) for x in (seen_log + back_log, base_log))
+    tallies = [np.bincount(cell[flag[pair]], minlength=len(used)) for flag in (known, *(r == i for i in range(1, K + 1)))]
+
     event = np.flatnonzero(backs[pair])
-    where = (np.array(chunks, dtype=np.int64)[np.repeat(of, n)[event]] << 22) | text[event]
-    lookup = wn[pair[event]] < 0
-    out.append(_rows("R", int(lookup.sum()), text=where[lookup], w=signed(pw[pair[event][lookup]])))
-    trained = total[context_of[pair[event]]] > 0
-    out.append(_rows("A", int(trained.sum()), text=where[trained], h=signed(ph[pair[event][trained]])))
-    asked = hot.copy()
-    asked[context_of[backs]] = True
-    asked &= total > 0
-    mass = np.bincount(context_of, weights=np.where((r > 0) & (wn > 0), model.probability(np.maximum(wn, 0)), 0.0), minlength=len(group))
-    picked = np.flatnonzero(asked)
-    discounted = pa.ListArray.from_arrays(np.arange(len(picked) + 1, dtype=np.int32) * K, pa.array(m[picked].reshape(-1).astype(np.int64)))
-    out.append(_rows("C", len(picked), h=signed(contexts[picked]), n=total[picked], x=mass[picked], m=discounted))
-    follow = np.flatnonzero((r > 0) & (wn < 0) & asked[context_of])
-    out.append(_rows("Y", len(follow), h=signed(ph[follow]), w=signed(pw[follow])))
-    return pa.concat_tables(out)
+    where = (chunk << 22) | part.text[event]
+    rare, trained = wn[pair[event]] < 0, total[pair[event]] > 0
+    out.append(_rows("R", int(rare.sum()), text=where[rare], w=signed(part.w[pair[event][rare]])))
+    out.append(_rows("A", int(trained.sum()), text=where[trained], h=signed(part.h[pair[event][trained]])))
+    return pack(small(used), s, base, *map(small, tallies))
 
 
 def _gather(table: pa.Table) -> pa.Table:
     """Sums of one chunk's texts over all buckets, with what describes the texts."""
-    texts, total = None, None
     chunk = table.column("chunk")[0].as_py()
-    for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-        if kind == "T":
-            texts = pa.ipc.open_stream(blob).read_next_batch()
-            continue
-        columns = [c.astype(np.float64) for c in unpack(blob)]
-        total = columns if total is None else [a + b for a, b in zip(total, columns)]
+    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+    texts = pa.ipc.open_stream(blobs[kinds.index("T")]).read_next_batch()
     size = texts.num_rows
-    s, base, known, *few = [c[:size] for c in total]
+    total = np.zeros((K + 3, size))
+    for kind, blob in zip(kinds, blobs):
+        if kind == "S":
+            used, *columns = unpack(blob)
+            total[:, used.astype(np.int64)] += np.stack([c.astype(np.float64) for c in columns])
+    s, base, known, *few = total
     ints = [pa.array(np.rint(c).astype(np.int64)) for c in (known, *few)]
     return pa.Table.from_arrays([pa.array((chunk << 22) | np.arange(size)), *texts.columns, pa.array(s), pa.array(base), *ints],
                                 names=["text", "doc_id", "held_out", "n_tokens", "s", "base", "known", *[f"k{i}" for i in range(1, K + 1)]])
@@ -327,7 +378,7 @@ def score_documents(documents: DataFrame, folds: int = FOLDS) -> DataFrame:
     stats = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(ending, F.lit(0)).alias("ends")).first()
     total, types = int(stats["n"]), int(stats["v"])
     unigram = discounts(of_counts(counts, "n"))
-    model = Model(*frequent_words(counts), total, types, unigram, int(stats["ends"]), width(documents))
+    model = Model(*frequent_words(counts), total, types, unigram, int(stats["ends"]), max(width(documents), -(-total // BUCKET_TOKENS)))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     scored = staged(_chunks(documents, shared, folds).groupBy("bucket").applyInArrow(lambda t: _score_bucket(shared.value, t), _OUT))
 
