@@ -2,10 +2,12 @@
 
 The global order of n-grams is that of their 64-bit hashes. It is cut into fragments at fixed points, and
 a document's set falls into one piece per fragment. Two sets of at most h n-grams with Jaccard similarity t
-differ in at most ``d = (1 - t) / (1 + t) * 2h`` n-grams, so of ``d + 1`` fragments one holds the same piece
-in both: documents that share a piece are the candidates, and no linked pair is missed. A piece is several
-n-grams at once, so common passages alone seldom make candidates. Pieces of fewer than three n-grams are
-left out if a document has at most ``spare`` of them, for which ``spare`` further fragments are cut.
+differ in at most ``d = (1 - t) / (1 + t) * 2h`` n-grams, so of ``d + 1 + spare`` fragments at least ``1 + spare``
+hold the same piece in both: documents that share a piece are the candidates, and no linked pair is missed. A
+piece is several n-grams at once, so common passages alone seldom make candidates. A document leaves out its
+pieces of fewer than three n-grams if it has at most ``spare`` of them, else those of fewer than two, else the
+empty ones. Of two documents take the one with the lower limit: at most ``spare`` of its pieces lie below that, so one
+of the pieces that both hold is kept by both.
 
 A candidate pair is first compared by sketches, about a byte for eight n-grams: every n-gram flips one bit, so
 sketches differ in at most as many bits as sets differ in n-grams, and pairs that differ in more bits than
@@ -21,6 +23,9 @@ tiles meet once, which counts all overlaps exactly.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,8 +36,7 @@ from seqlab.llm.graph import components
 from seqlab.llm.staging import hash_bitmap, in_bitmap, staged, width
 from seqlab.llm.words import NOT_SPACE, U64, Words, blocks, mix, signed
 
-BAND_GROWTH = 1.5
-POOR_PIECE = 3
+BAND_GROWTH = 1.2
 COUNTING_FRAGMENTS = 8
 #: n-grams of a tile of a component, where a small set counts as LEAST_WEIGHT; and n-grams compared at a time.
 TILE_GRAMS = 1 << 15
@@ -88,16 +92,34 @@ def piece_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     band, keys = band_of(size), []
     reach = size * 100 // percent
     while band_limits(band)[0] <= reach:
-        keys.append(_band_keys(grams, band, percent))
+        if band_limits(band)[0] <= band_limits(band)[1]:  # narrow bands may hold no whole number
+            keys.append(_band_keys(grams, band, percent))
         band += 1
     return np.concatenate(keys)
 
 
+@lru_cache(maxsize=None)
+def cut(band: int, percent: int) -> tuple[int, int]:
+    """(d, spare): the most n-grams in which sets of a band differ, and the fragments cut so that few sets keep pieces of one n-gram."""
+    low, high = band_limits(band)
+    differ = difference_bound(high, percent)
+    spare = 1 + differ // 16
+
+    def poor(parts: int) -> float:
+        """Pieces of fewer than two n-grams that hardly any set exceeds (mean and two deviations of a Poisson law)."""
+        mean = low / parts
+        share = math.exp(-mean) * (1 + mean)
+        return parts * share + 2 * math.sqrt(parts * share * (1 - share))
+
+    while spare < differ and poor(differ + 1 + spare) > spare:
+        spare += 1
+    return differ, spare
+
+
 def _band_keys(grams: np.ndarray, band: int, percent: int) -> np.ndarray:
-    differ = difference_bound(band_limits(band)[1], percent)
+    differ, spare = cut(band, percent)
     if not differ:  # partners are equal sets, which are one class already
         return np.zeros(0, dtype=np.uint64)
-    spare = 1 + differ // 16
     parts = differ + 1 + spare
     part = ((grams >> U64(32)) * U64(parts)) >> U64(32)
     bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
@@ -105,8 +127,11 @@ def _band_keys(grams: np.ndarray, band: int, percent: int) -> np.ndarray:
     np.cumsum(mix(grams ^ U64(0xA5A5A5A55A5A5A5A)), out=total[1:], dtype=np.uint64)
     content = total[bounds[1:]] - total[bounds[:-1]]
     keys = mix(mix(content + U64(band)) + np.arange(parts, dtype=np.uint64))
-    rich = np.diff(bounds) >= POOR_PIECE
-    return keys[rich] if parts - int(rich.sum()) <= spare else keys
+    sizes = np.diff(bounds)
+    for least in (3, 2, 1):
+        if int((sizes < least).sum()) <= spare:
+            return keys[sizes >= least]
+    return keys
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
