@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
+from .quantiles import quantile_columns, with_quantiles
 
 
 def seed_summary(results: DataFrame, by: Sequence[str], metrics: Sequence[str], seed: str = "seed", extremes: bool = False) -> DataFrame:
@@ -28,10 +29,9 @@ def loss_curve(history: DataFrame, by: Sequence[str], losses: Sequence[str], see
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    exact = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(*by).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), exact(0.5).alias("median"), exact(0.75).alias("p75"),
-        exact(0.9).alias("p90"), F.max(value).alias("max"))
+    found = quantile_columns(df, by, {"median": (value, 0.5), "p75": (value, 0.75), "p90": (value, 0.9)})
+    plain = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return with_quantiles(plain, found, by).select(*by, "count", "mean", "median", "p75", "p90", "max")
 
 
 def seed_deltas(results: DataFrame, keys: Sequence[str], target: str, other: str, metrics: Sequence[str]) -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import safe_ratio
-from ..session import shuffle_width
+from ..session import materialise, shuffle_width
+from .quantiles import exact_quantiles
 
 THRESHOLD_METRICS = ("sensitivity", "specificity", "precision", "npv", "accuracy", "balanced_accuracy", "f1", "mcc")
 
@@ -100,10 +101,11 @@ def ranking_metrics(df: DataFrame, by: Sequence[str], score: str = "prob", weigh
 def best_thresholds(df: DataFrame, by: Sequence[str], score: str = "prob") -> DataFrame:
     """Threshold with the best balanced accuracy among 97 score quantiles; the smallest wins ties, 0.5 when empty.
 
-    The quantiles are exact. Counting at a threshold needs the counts per distinct score only.
+    The quantiles are exact and come from counts per slice. Counting at a threshold needs the counts per distinct score only.
     """
     points = [0.02 + 0.01 * i for i in range(97)]
-    grid = df.groupBy(*by).agg(F.array_distinct(F.percentile(score, F.array(*[F.lit(round(p, 2)) for p in points]))).alias("_grid"))
+    found = exact_quantiles(df, by, [score], [round(p, 2) for p in points])
+    grid = materialise(found.groupBy(*by).agg(F.array_sort(F.collect_set("value")).alias("_grid")))  # used twice; one short row per group
     counts = score_counts(df, by, score)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     # one row per (group, threshold) below its score: a slice index per score, then a running total

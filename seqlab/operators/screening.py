@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
+from .quantiles import exact_quantiles, quantile_columns, with_quantiles
 from .ranking import assign_ids, global_position
 
 
@@ -118,13 +119,14 @@ def pool_summary(df: DataFrame, by: str, score_a: str, score_b: str) -> DataFram
     for name, lo, hi in S.TIERS:
         flag = S.tier_flag(F.col("qc_pass"), F.col(score_a), F.col(score_b), lo, hi)
         tiers += [F.count_if(flag).alias(f"{name}_n"), rate(flag).alias(f"{name}_rate")]
-    return df.groupBy(by).agg(
+    plain = df.groupBy(by).agg(
         F.count("*").alias("n"), F.count_if(F.col("qc_pass")).alias("qc_pass_n"), rate(F.col("qc_pass")).alias("qc_pass_rate"),
         F.count_if(high).alias("a_ge_0p70_n"), rate(high).alias("a_ge_0p70_rate"),
         F.count_if(low).alias("b_le_0p30_n"), rate(low).alias("b_le_0p30_rate"),
-        F.avg(score_a).alias("mean_a"), F.median(score_a).alias("median_a"),
-        F.avg(score_b).alias("mean_b"), F.median(score_b).alias("median_b"),
-        F.avg("decision_score").alias("mean_decision"), F.median("decision_score").alias("median_decision"), *tiers)
+        F.avg(score_a).alias("mean_a"), F.avg(score_b).alias("mean_b"), F.avg("decision_score").alias("mean_decision"), *tiers)
+    medians = quantile_columns(
+        df, [by], {"median_a": (score_a, 0.5), "median_b": (score_b, 0.5), "median_decision": ("decision_score", 0.5)})
+    return with_quantiles(plain, medians, [by])
 
 
 def tier_enrichment(base: DataFrame, treated: DataFrame, score_a: str, score_b: str) -> DataFrame:
@@ -161,10 +163,11 @@ def qc_summary(df: DataFrame, shortlist: Column, source: str, score_a: str, scor
 
 
 def quantile_table(df: DataFrame, columns: Sequence[str], points: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles, long form."""
-    exact = df.agg(*[F.percentile(k, F.array(*[F.lit(p) for p in points])).alias(k) for k in columns])
-    long = exact.unpivot([], list(columns), "metric", "values")
-    return long.select("metric", F.posexplode("values").alias("i", "value")).select(
+    """Exact linear-interpolated quantiles, long form; one row per column and point, null for a column without values."""
+    grid = F.explode(F.array(*[F.lit(k) for k in columns])).alias("metric")
+    every = df.sparkSession.range(len(points)).select(F.col("id").cast("int").alias("i"), grid)
+    found = every.join(exact_quantiles(df, [], columns, points), ["metric", "i"], "left")
+    return found.select(
         "metric", F.element_at(F.array(*[F.lit(float(p)) for p in points]), F.col("i") + 1).alias("quantile"), "value")
 
 
