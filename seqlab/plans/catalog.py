@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("curation_queries", "matching_queries", "descriptor_queries", "metric_queries", "screening_queries", "vector_queries", "similarity_queries", "model_queries")
+MODULES = (
+    "source_queries", "curation_queries", "matching_queries", "descriptor_queries", "metric_queries", "screening_queries", "vector_queries", "similarity_queries", "model_queries",
+)
 
 
 def load() -> None:

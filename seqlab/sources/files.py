@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as S
 from ..operators.curation import require_columns, require_empty
@@ -25,12 +25,12 @@ def read_fasta(spark: SparkSession, pattern: str) -> DataFrame:
     the first ``>`` is dropped; a wrapped sequence is glued together.
     """
     blocks = spark.read.option("lineSep", "\n>").text(pattern).select(
-        F.regexp_replace("value", "\r", "").alias("block"), F.col(FILE).alias("source_file"),
+        F.regexp_replace("value", "\r", "").alias("block"), F.col(FILE).alias("source_file"), F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_order"),
     )
     # Only the first block of a file keeps its own '>'; without one it is text before any entry.
     first_of_file = _first_block(blocks)
-    marked = blocks.join(F.broadcast(first_of_file), ["source_file", "_split", "_order"], "left")
+    marked = blocks.join(F.broadcast(first_of_file), ["_path", "_split", "_order"], "left")
     is_first = F.col("_first").isNotNull()
     starts = F.startswith(F.ltrim("block"), F.lit(">"))
     kept = marked.where(~is_first | starts).withColumn(
@@ -38,14 +38,14 @@ def read_fasta(spark: SparkSession, pattern: str) -> DataFrame:
     header = F.trim(F.substring_index("block", "\n", 1))
     body = F.regexp_replace(F.substring("block", 1, 2**31 - 1), r"^[^\n]*\n?", "")
     return kept.select(
-        header.alias("header"), F.regexp_replace(body, r"\s+", "").alias("raw_sequence"), "source_file", "_split", "_order")
+        header.alias("header"), F.regexp_replace(body, r"\s+", "").alias("raw_sequence"), "source_file", "_path", "_split", "_order")
 
 
 def _first_block(blocks: DataFrame) -> DataFrame:
     """One row per file: where its first record sits. Bounded by the number of files."""
     place = F.struct("_split", "_order")
-    return blocks.groupBy("source_file").agg(F.min(place).alias("p")).select(
-        "source_file", "p._split", "p._order", F.lit(1).alias("_first"))
+    return blocks.groupBy("_path").agg(F.min(place).alias("p")).select(
+        "_path", "p._split", "p._order", F.lit(1).alias("_first"))
 
 
 def with_file_ordinal(entries: DataFrame, column: str = "record_id") -> DataFrame:
@@ -54,15 +54,13 @@ def with_file_ordinal(entries: DataFrame, column: str = "record_id") -> DataFram
     Rows are numbered per (file, split) and earlier splits are added, so that one big file does
     not end up in one task.
     """
-    from pyspark.sql import Window
-
-    sizes = entries.groupBy("source_file", "_split").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("source_file", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source_file", "_split").orderBy("_order")
-    numbered = entries.withColumn("_row", F.row_number().over(inside)).join(offsets, ["source_file", "_split"])
+    sizes = entries.groupBy("_path", "_split").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_path", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_path", "_split").orderBy("_order")
+    numbered = entries.withColumn("_row", F.row_number().over(inside)).join(offsets, ["_path", "_split"])
     position = (F.col("_before") + F.col("_row")).cast("string")
-    return numbered.withColumn(column, F.concat_ws(":", "source_file", position)).drop("_split", "_order", "_row", "_before")
+    return numbered.withColumn(column, F.concat_ws(":", "source_file", position)).drop("_path", "_split", "_order", "_row", "_before")
 
 
 def read_labelled_fasta(spark: SparkSession, pattern: str) -> DataFrame:
@@ -135,15 +133,26 @@ def read_sequences_only(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """Cluster file (``>Cluster n`` blocks with ``>id...`` member lines) as (cluster_id, member_id)."""
-    blocks = spark.read.option("lineSep", ">Cluster ").text(path)
-    members = F.regexp_extract_all("value", F.lit(r">(.+?)\.\.\."), F.lit(1))
-    label = F.trim(F.substring_index("value", "\n", 1))
+    """Cluster file (``>Cluster n`` lines, each followed by ``>id...`` member lines) as (cluster_id, member_id).
+
+    Every line is a row, so a cluster may be longer than a split. A member belongs to the last header at or before
+    it: inside its split by a running value, else the header comes from the summaries of earlier splits, one row
+    per split. A member ahead of the first header of its file raises.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_order"),
+        F.nullif(F.regexp_extract("value", r"^>Cluster\s+(\d+)\s*$", 1), F.lit("")).alias("_header"),
+        F.nullif(F.regexp_extract("value", r">(.+?)\.\.\.", 1), F.lit("")).alias("member_id"))
+    lines = lines.where("_header IS NOT NULL OR member_id IS NOT NULL")
+    running = Window.partitionBy("_file", "_split").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = lines.withColumn("_own", F.last("_header", ignorenulls=True).over(running)).where("_header IS NULL")
+    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lines.where("_header IS NOT NULL").groupBy("_file", "_split").agg(F.max_by("_header", "_order").alias("_last"))
+    every = lines.select("_file", "_split").distinct().join(carried, ["_file", "_split"], "left")
+    before = every.select("_file", "_split", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
     orphan = F.raise_error("member line ahead of the first cluster").cast("string")
-    numbered = blocks.where(F.trim("value") != "").select(
-        F.when(label.rlike(r"^\d+$"), label).otherwise(F.when(F.size(members) > 0, orphan)).alias("cluster_id"),
-        F.explode(members).alias("member_id"))
-    return numbered
+    return placed.join(before, ["_file", "_split"]).select(F.coalesce("_own", "_carried", orphan).alias("cluster_id"), "member_id")
 
 
 def load_split(raw: DataFrame, positive: str = "positive", negative: str = "negative") -> DataFrame:

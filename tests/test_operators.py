@@ -211,6 +211,37 @@ def test_file_sources(spark, tmp_path):
     assert listed["a.fa"] == "used" and listed["p.tsv"] == "ignored"
 
 
+def test_fasta_files_of_one_name(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.fa").write_text(f">{folder}1\nACD\n>{folder}2\nEFG\n")
+    back = files.with_file_ordinal(files.read_fasta(spark, f"{tmp_path}/*/part.fa")).collect()
+    assert sorted((r.header, r.raw_sequence, r.record_id) for r in back) == [
+        ("a1", "ACD", "part.fa:1"), ("a2", "EFG", "part.fa:2"), ("b1", "ACD", "part.fa:1"), ("b2", "EFG", "part.fa:2")]
+
+
+def test_clusters_cross_splits(spark, tmp_path):
+    rows = [(n, f"id_{n}_{k:03d}", 10 + k) for n, size in ((0, 1), (1, 300), (2, 40), (7, 1)) for k in range(size)]
+    df = spark.createDataFrame(rows, "cluster int, member string, length int")
+    sinks.write_clusters(df.coalesce(1), str(tmp_path / "c"), "cluster", "member", "length")
+    want = sorted((str(n), member) for n, member, _ in rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # a cluster spans many splits
+    try:
+        back = files.read_clusters(spark, str(tmp_path / "c"))
+        assert spark.read.text(str(tmp_path / "c")).rdd.getNumPartitions() > 20
+        assert sorted((r.cluster_id, r.member_id) for r in back.collect()) == want
+        (tmp_path / "c" / "late.txt").write_text("0\t9aa, >early... *\n>Cluster 9\n0\t9aa, >late... *\n")
+        with pytest.raises(Exception, match="ahead of the first cluster"):
+            files.read_clusters(spark, str(tmp_path / "c")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_no_clusters(spark, tmp_path):
+    (tmp_path / "empty.clstr").write_text("")
+    assert files.read_clusters(spark, str(tmp_path / "empty.clstr")).count() == 0
+
+
 def test_sinks_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("s1", "ACDEFGHIKL", "train"), ("s2", "MNPQRSTVWY", "test")], "fasta_id string, sequence string, split string")
     sinks.write_fasta(df, str(tmp_path / "f"), F.col("fasta_id"))
