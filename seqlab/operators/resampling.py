@@ -126,6 +126,12 @@ def one_sided_p(deltas: DataFrame, observed: Column) -> DataFrame:
         (F.count_if(F.col("delta") <= 0) + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
+def swap_counts(df: DataFrame, groups: Sequence[str], key: str, replicates: int, seed: int) -> DataFrame:
+    """Rows of every group that a replicate swaps, each row with probability one half: (groups, replicate, w)."""
+    decode = lambda digests: np.stack([digests >> 7, (digests >> 3) & 1], axis=2).astype(np.uint8)
+    return _grouped_draws(df, groups, key, replicates, f"{seed}|swap", 32, decode)
+
+
 def permutation_deltas(pairs: DataFrame, key: str, threshold: float, replicates: int, seed: int) -> DataFrame:
     """(replicate, metric, delta): every threshold metric of a minus that of b after swapping both per row with probability one half.
 
@@ -134,8 +140,7 @@ def permutation_deltas(pairs: DataFrame, key: str, threshold: float, replicates:
     """
     cell = ["label", "_a", "_b"]
     marked = pairs.withColumn("_a", F.col("prob_a") >= threshold).withColumn("_b", F.col("prob_b") >= threshold)
-    decode = lambda digests: np.stack([digests >> 7, (digests >> 3) & 1], axis=2).astype(np.uint8)
-    swapped = _grouped_draws(marked, cell, key, replicates, f"{seed}|swap", 32, decode)
+    swapped = swap_counts(marked, cell, key, replicates, seed)
     swapped = swapped.unionByName(marked.select(*cell).distinct().select(*cell, F.lit(-1).alias("replicate"), F.lit(0).cast("long").alias("w")))
     sizes = marked.groupBy(*cell).agg(F.count("*").alias("n"))
     # at most two labels by two by two predictions

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = (
-    "source_queries", "curation_queries", "matching_queries", "descriptor_queries", "metric_queries", "screening_queries", "vector_queries", "similarity_queries", "model_queries",
+    "source_queries", "significance_queries", "curation_queries", "matching_queries", "descriptor_queries", "metric_queries", "screening_queries", "vector_queries", "similarity_queries", "model_queries",
 )
 
 
