@@ -24,6 +24,9 @@ def fraction_summary(fractions: DataFrame, time: str, low: float, high: float) -
         F.avg(F.when(inside, F.col("fraction"))).alias("window_mean"))
 
 
-def state_matrix(df: DataFrame, time: str, residue: str, code: Column, residues: Sequence) -> DataFrame:
-    """Time by residue table of coded states; the residue list is given, so no extra job finds it."""
-    return df.groupBy(time).pivot(residue, list(residues)).agg(F.first(code))
+def state_matrix(df: DataFrame, time: str, residue: str, code: Column, residues: Sequence, order: Column) -> DataFrame:
+    """Time by residue table of coded states; the residue list is given, so no extra job finds it.
+
+    Of several states in one cell that with the largest ``order`` counts; a cell without a state is null.
+    """
+    return df.groupBy(time).pivot(residue, list(residues)).agg(F.max_by(code, order))

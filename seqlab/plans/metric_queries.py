@@ -402,7 +402,7 @@ def _(t):
     return K.compact_topk(sweep, 0.05)
 
 
-FRAMES = "frames AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame, user_id % 10 AS residue, event_type FROM events)"
+FRAMES = "frames AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame, user_id % 10 AS residue, event_type, event_id FROM events)"
 
 
 @query("A33_state_fraction", B.with_sql(FRAMES, f"""
@@ -416,16 +416,18 @@ def _(t):
 
 
 def _frames(t):
-    return t.events.select(F.floor(F.unix_timestamp(c("ts").cast("timestamp")) / 3600).cast("long").alias("frame"), (c("user_id") % 10).alias("residue"), "event_type")
+    return t.events.select(F.floor(F.unix_timestamp(c("ts").cast("timestamp")) / 3600).cast("long").alias("frame"), (c("user_id") % 10).alias("residue"), "event_type", "event_id")
 
 
 @query("A33_state_matrix", B.with_sql(FRAMES, f"""
-SELECT frame, {', '.join(f'CAST(count(*) FILTER (residue = {i}) > 0 AS INT) AS r{i}' for i in range(10))} FROM frames GROUP BY 1"""))
+, coded AS (SELECT *, CASE event_type WHEN 'click' THEN 'H' WHEN 'view' THEN 'E' ELSE 'C' END AS state FROM frames)
+SELECT frame, {', '.join(f"coalesce(arg_max(state, event_id) FILTER (residue = {i}), '') AS r{i}" for i in range(10))} FROM coded GROUP BY 1""".lstrip()))
 def _(t):
     from ..operators.frames import state_matrix
 
-    wide = state_matrix(_frames(t), "frame", "residue", F.lit(1), list(range(10)))
-    return wide.select("frame", *[F.coalesce(f"`{i}`", F.lit(0)).alias(f"r{i}") for i in range(10)])
+    state = F.when(c("event_type") == "click", "H").when(c("event_type") == "view", "E").otherwise("C")
+    wide = state_matrix(_frames(t), "frame", "residue", state, list(range(10)), c("event_id"))
+    return wide.select("frame", *[F.coalesce(f"`{i}`", F.lit("")).alias(f"r{i}") for i in range(10)])
 
 
 @query("K07_figure_source", B.with_sql(B.SUMMARY, f"""
